@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cleanloom.llm import attribution, common, packing, simhash, tokenfiles, transcode, vectors
+from cleanloom.llm import attribution, common, packing, quality, simhash, substring, tokenfiles, toxicity, transcode, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +31,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.evaluate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +53,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.digests(spark, path)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.evaluate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -55,6 +66,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+r AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+m AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(0, 35)) AS j FROM s SEMI JOIN r USING (g))),
+k AS (SELECT doc_id, p, word FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM w) ANTI JOIN m USING (doc_id, p)),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM k GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN t USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -70,8 +92,8 @@ FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_bpe, op4_packing, op7_embedding_dedup, op8_token_counts, op9_token_files)}
+    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_bpe, op4_packing, op5_substring_dedup, op6_toxicity, op7_embedding_dedup, op8_token_counts, op9_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op7_embedding_dedup": OP7_SQL}
+    return {"op2_topk": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_dedup": OP7_SQL}
