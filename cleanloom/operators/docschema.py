@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cleanloom.functions import text as t
 
 #: Elements of an array that are looked into, and levels of nesting.
-PEEK, DEPTH = 3, 16
+PEEK, DEPTH = 3, 64
 
 
 def kind_of(v: Column) -> Column:
@@ -32,21 +32,26 @@ def kind_of(v: Column) -> Column:
 def paths(docs: DataFrame, json: str, depth: int = DEPTH) -> DataFrame:
     """(path, type) for each field of each document, fields of the first PEEK elements of arrays too.
 
-    Texts that are no JSON objects have no paths.  Levels below `depth` are not looked into.
+    Texts that are no JSON objects have no paths.  A level is kept while the next one is made from
+    it, and the first empty level is the last; with `depth` given the levels below are not looked into.
     """
     level = docs.select(F.lit("").alias("path"), F.try_parse_json(t.column(json).cast("string")).alias("v")).where("v is not null")
     level = level.where(F.schema_of_variant("v").startswith("OBJECT"))
     out = None
     for _ in range(depth):
-        fields = level.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
-            F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), F.col("value").alias("v")
-        ).withColumn("type", kind_of(F.col("v")))
-        found = fields.select("path", "type")
-        out = found if out is None else out.unionByName(found)
-        inner = fields.where("type = 'object'").select("path", "v")
-        arrays = fields.where("type = 'array'").select("path", "v")
-        items = arrays.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer())).where(F.col("pos") < PEEK).select(F.concat("path", F.lit("[]")).alias("path"), F.col("value").alias("v"))
-        level = inner.unionByName(items.where(kind_of(F.col("v")) == "object"))
+        fields = (
+            level.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()))
+            .select(F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), F.col("value").alias("v"))
+            .withColumn("type", kind_of(F.col("v")))
+            .persist()
+        )
+        out = fields.select("path", "type") if out is None else out.unionByName(fields.select("path", "type"))
+        items = F.slice(F.try_variant_get("v", F.lit("$"), "array<variant>"), 1, PEEK)
+        inside = F.when(F.col("type") == "object", F.array("v")).when(F.col("type") == "array", items)
+        name = F.when(F.col("type") == "array", F.concat("path", F.lit("[]"))).otherwise(F.col("path"))
+        level = fields.where("type in ('object', 'array')").select(name.alias("path"), F.explode(inside).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+        if level.isEmpty():
+            break
     return out
 
 

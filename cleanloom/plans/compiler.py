@@ -13,6 +13,10 @@ from cleanloom.operators import actions
 from cleanloom.plans.model import Plan, Step, Unsupported
 
 
+#: A row's place in the table, beside its columns.
+PLACE = "__place"
+
+
 def raw_before(plan: Plan, step: Step) -> Column:
     """The column as the step finds it: after the steps before."""
     c = t.column(step.column).cast("string")
@@ -35,12 +39,12 @@ def bind(df: DataFrame, plan: Plan) -> Plan:
         if s.action == "cast_numeric" and s.params.get("integer"):
             asked[f"w{i}"] = s, actions.all_whole(actions.cast_numeric(raw_before(plan, s), False, s.strategy))
         if s.action == "parse_dates" and s.strategy <= 0 and "form" not in s.params:
-            asked[f"f{i}"] = s, actions.first_form(raw_before(plan, s), F.monotonically_increasing_id())
+            asked[f"f{i}"] = s, actions.first_form(raw_before(plan, s), F.col(PLACE))
         if s.action == "canonicalize" and not s.params.get("mapping"):
             before = df.select(raw_before(plan, s).alias("v"))
             s.params["mapping"] = actions.canonical_mapping(before, F.col("v"))
     if asked:
-        row = df.agg(*(c.alias(k) for k, (_, c) in asked.items())).first()
+        row = df.withColumn(PLACE, F.monotonically_increasing_id()).agg(*(c.alias(k) for k, (_, c) in asked.items())).first()
         for k, (s, _) in asked.items():
             if k[0] == "w":
                 s.params["integer"] = bool(row[k])
