@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanloom.functions import text as t
-from cleanloom.operators import actions, docschema, drift, validate
+from cleanloom.operators import actions, datagen, docschema, drift, issues, matching, score, validate
 from cleanloom.operators import profile as prof
 from cleanloom.plans import compiler
 from cleanloom.plans.model import Plan, Step
+from cleanloom.plans.planner import RulePlanner
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEXT = ["price", "ordered", "priority", "urgent", "custKey"]
@@ -232,6 +233,62 @@ def act_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.compiled(dirty(spark, sf_dir), Plan([Step("status", "custom", {"expression": "concat(lower(status), '-', id % 3)"})])).select("id", "status")
 
 
+def issues_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inconsistencies that the rules find in the raw table.
+
+    A quarter of the prices that are there stand in parentheses, which is no number's form, so numbers are too
+    few there to be the column's family.
+    """
+    found = issues.detect(prof.profile(dirty(spark, sf_dir).select(*TEXT)))
+    return spark.createDataFrame([(i["column"], i["issue"], i["action"], i["severity"]) for i in found], "column string, issue string, action string, severity string")
+
+
+def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that the rules plan for them, with the strategy each starts from."""
+    raw = dirty(spark, sf_dir).select(*TEXT)
+    p = prof.profile(raw)
+    plan = RulePlanner().plan(p, issues.detect(p), raw).plan
+    return spark.createDataFrame([(i, s.column, s.action, s.strategy) for i, s in enumerate(plan.ordered())], "place int, column string, action string, strategy int")
+
+
+def match_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw columns against a target schema: the same name, a normalised name, a synonym, a near name."""
+    source = {c: [r[0] for r in table(spark, sf_dir, "orders").select(F.col(c).cast("string")).limit(3).collect()] for c in ("o_orderkey", "o_custkey", "o_orderdate")}
+    renamed = {"orderKey": source["o_orderkey"], "client_id": source["o_custkey"], "order_dates": source["o_orderdate"], "total": []}
+    found, left = matching.match(renamed, {"order_key": [], "customer_id": [], "order_date": [], "total": []})
+    return spark.createDataFrame([(m.source, m.target, m.level) for m in found] + [(c, None, "none") for c in left], "source string, target string, level string")
+
+
+def schema_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the raw table's schema is to each of three others: shared columns with families, shared names."""
+    rows = families(texts(spark, sf_dir)).select(F.concat("column", F.lit(":"), F.coalesce("family", F.lit("null"))).alias("part"))
+    own = rows.agg(F.collect_set("part").alias("a"))
+    others = spark.createDataFrame([("same", ["price:number", "ordered:date", "priority:str", "urgent:bool", "custKey:number"]), ("typed", ["price:number", "ordered:str", "priority:str"]), ("other", ["x:str"])], "name string, b array<string>")
+    names = lambda c: F.array_distinct(F.transform(c, lambda x: F.split(x, ":")[0]))
+    share = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return others.join(F.broadcast(own)).select("name", F.round(0.7 * share(F.col("a"), F.col("b")) + 0.3 * share(names(F.col("a")), names(F.col("b"))), 4).alias("similarity"))
+
+
+def flatten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "named_struct('status', o_orderstatus, 'price', named_struct('total', o_totalprice)) AS o")
+    return docschema.flattened(nested)
+
+
+def repair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated messy tables of all domains, planned and repaired by the rules: cells by column."""
+    out = None
+    for seed, domain in enumerate(datagen.DOMAINS):
+        messy = datagen.corrupt(datagen.generate(spark, domain, 2000, seed), domain, seed)
+        raw = messy.dirty.drop("_rid")
+        p = prof.profile(raw)
+        plan = RulePlanner().plan(p, issues.detect(p), raw).plan
+        done = compiler.compiled(messy.dirty, compiler.bind(messy.dirty, plan))
+        names = {c: plan.renames().get(messy.renames.get(c, c), messy.renames.get(c, c)) for c in messy.clean.columns}
+        cells = score.cells(messy, done, names).select(F.lit(domain).alias("domain"), "*")
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "clean_orders": (clean_orders, f"WITH {DIRTY} {CLEAN}"),
     "clean_orders_sql": (clean_orders_sql, f"WITH {DIRTY} {CLEAN}"),
@@ -275,6 +332,21 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "schema_signature": (schema_signature, f"WITH {TYPED}, f AS (SELECT \"column\", CASE WHEN type IN ('int', 'float', 'numeric_text') THEN 'number' WHEN type LIKE 'date%' THEN 'date' ELSE type END AS family, sum(n) AS n FROM c WHERE type NOT IN ('null', 'null_token') GROUP BY ALL), b AS (SELECT \"column\", arg_min(family, (-n, family)) AS family FROM f GROUP BY 1), s AS (SELECT string_agg(part, ',' ORDER BY part) AS signature FROM (SELECT (CASE \"column\" WHEN 'custKey' THEN 'cust_key' ELSE \"column\" END) || ':' || family AS part FROM b)) SELECT signature, sha256(signature)[1:16] AS fingerprint FROM s"),
     "doc_schema_hist": (doc_schema_hist, f"WITH {EVENTS} SELECT path, type, n, round(sum(n) OVER (PARTITION BY path) / total, 4) AS presence FROM h, t"),
     "doc_shape_conflicts": (doc_shape_conflicts, f"WITH {EVENTS}, k AS (SELECT * FROM h WHERE type <> 'null') SELECT path, type AS shape FROM k WHERE type IN ('object', 'array') AND path IN (SELECT path FROM k GROUP BY 1 HAVING count(DISTINCT type) > 1)"),
+    "issues_list": (
+        issues_list,
+        """SELECT * FROM (VALUES ('price', 'null_tokens', 'standardize_nulls', 'error'), ('price', 'whitespace', 'strip', 'error'), ('ordered', 'date_formats', 'parse_dates', 'error'),
+        ('priority', 'whitespace', 'strip', 'error'), ('priority', 'inconsistent_categories', 'canonicalize', 'error'), ('urgent', 'null_tokens', 'standardize_nulls', 'error'), ('urgent', 'whitespace', 'strip', 'error'), ('urgent', 'bool_as_text', 'to_bool', 'error'),
+        ('custKey', 'numeric_as_text', 'cast_numeric', 'error'), ('custKey', 'naming', 'rename', 'warning')) AS r("column", issue, action, severity)""",
+    ),
+    "plan_steps": (
+        plan_steps,
+        """SELECT * FROM (VALUES (0, 'price', 'standardize_nulls', 0), (1, 'urgent', 'standardize_nulls', 0), (2, 'price', 'strip', 0), (3, 'priority', 'strip', 0), (4, 'urgent', 'strip', 0), (5, 'priority', 'canonicalize', 0), (6, 'custKey', 'cast_numeric', 0),
+        (7, 'ordered', 'parse_dates', 1), (8, 'urgent', 'to_bool', 0), (9, 'custKey', 'rename', 0)) AS r(place, "column", action, strategy)""",
+    ),
+    "match_columns": (match_columns, "SELECT * FROM (VALUES ('total', 'total', 'exact'), ('orderKey', 'order_key', 'normalized'), ('client_id', 'customer_id', 'synonym'), ('order_dates', 'order_date', 'fuzzy')) AS r(source, target, level)"),
+    "schema_similarity": (schema_similarity, "SELECT * FROM (VALUES ('same', 1.0::DOUBLE), ('typed', round(0.7 * 2 / 6 + 0.3 * 3 / 5, 4)::DOUBLE), ('other', 0.0::DOUBLE)) AS r(name, similarity)"),
+    "flatten_documents": (flatten_documents, 'SELECT o_orderkey AS id, o_orderstatus AS "o.status", o_totalprice AS "o.price.total" FROM orders'),
+    "repair_scores": (repair_scores, None),
     "score_repair": (
         score_repair,
         f"""WITH {DIRTY}, a AS ({CLEAN}), b AS (SELECT a.*, o_totalprice, o_orderdate, o_orderpriority FROM a JOIN orders ON id = o_orderkey)

@@ -291,3 +291,21 @@ def test_repair_is_good(spark, domain):
     names = {c: plan.renames().get(messy.renames.get(c, c), messy.renames.get(c, c)) for c in messy.clean.columns}
     q = score.quality(score.cells(messy, out, names))
     assert q["repaired"] > 0.97 and q["damaged"] < 0.001 and q["garbage_nulled"] == 1.0
+
+
+# -- command line -------------------------------------------------------------------------------
+
+
+def test_the_command_line(spark, tmp_path, capsys):
+    from cleanloom.__main__ import main
+
+    path, folder = tmp_path / "raw.csv", str(tmp_path / "runs")
+    path.write_text("Name,n\n a ,1\nb,2\n")
+    assert main(["--folder", folder, "run", str(path)]) == 0
+    assert main(["--folder", folder, "memory"]) == 0
+    assert "version 1 active" in capsys.readouterr().out
+    assert main(["profile", str(path)]) == 0
+    assert '"whitespace"' in capsys.readouterr().out
+    bad = tmp_path / "bad.py"
+    bad.write_text("import os")
+    assert main(["guard", str(bad)]) == 1

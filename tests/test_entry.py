@@ -19,7 +19,7 @@ def test_without_the_optional_parts(tmp_path):
         source = ROOT / name
         (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
     shutil.rmtree(tmp_path / "cleanloom/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), any(k.startswith('op') or k == 'pipeline' for k in e.queries()))"
+    code = "import __spark_entry__ as e; print(set(e.oracle_sql()) < set(e.queries()), any(k.startswith('op') or k == 'pipeline' for k in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert out.stdout.split() == ["True", "False"]
 
@@ -42,7 +42,7 @@ def plain(x):
     return round(x, 6) if isinstance(x, float) else x
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_their_sql(spark, views, name):
     run, sql = queries.QUERIES[name]
     got, want = run(spark, SF), views.sql(sql)
