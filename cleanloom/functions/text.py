@@ -85,17 +85,17 @@ def iso_time(t: Column) -> Column:
     return F.to_utc_timestamp(F.try_to_timestamp(t), F.current_timezone()).cast("timestamp_ntz")
 
 
+def date_as(c: Column, form: str, read_as: str | None = None) -> Column:
+    """A date written in one of DATE_FORMATS, else null; read_as reads it in another order of its parts."""
+    expression = next(e for e, f in DATE_FORMATS if f == form)
+    v = trimmed(c)
+    plain = F.replace(v, F.lit(","), F.lit(""))
+    return F.when(v.rlike(expression), F.try_to_timestamp(plain, F.lit(read_as or form)).cast("timestamp_ntz") if form else iso_time(plain))
+
+
 def date_in(c: Column, dayfirst: bool = False) -> Column:
-    """A date written in one of DATE_FORMATS, else null; dayfirst turns the order around in slash dates."""
-    t = trimmed(c)
-    plain = F.replace(t, F.lit(","), F.lit(""))
-    out = F.lit(None).cast("timestamp_ntz")
-    for expression, form in reversed(DATE_FORMATS):
-        if dayfirst and form == "M/d/yyyy":
-            form = "d/M/yyyy"
-        value = F.try_to_timestamp(plain, F.lit(form)).cast("timestamp_ntz") if form else iso_time(plain)
-        out = F.when(t.rlike(expression), value).otherwise(out)
-    return out
+    """A date written in any of DATE_FORMATS, else null; dayfirst turns the order around in slash dates."""
+    return F.coalesce(*(date_as(c, form, "d/M/yyyy" if dayfirst and form == "M/d/yyyy" else None) for _, form in DATE_FORMATS))
 
 
 def clipped(c: Column, n: int = 60) -> Column:

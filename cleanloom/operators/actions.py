@@ -39,11 +39,7 @@ def parse_dates(c: Column, strategy: int = 0, dayfirst: bool = False, form: str
     dayfirst holds from strategy 2 on.
     """
     if strategy <= 0 and form is not None:
-        expression = dict((f, e) for e, f in t.DATE_FORMATS)[form]
-        value = t.trimmed(c)
-        if form in ("", "yyyy-MM-dd"):
-            return F.when(value.rlike(t.ISO_DAY), F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")).when(value.rlike(t.ISO_TIME), t.iso_time(value)) if form == "" else F.when(value.rlike(expression), F.try_to_timestamp(value, F.lit(form)).cast("timestamp_ntz"))
-        return F.when(value.rlike(expression), F.try_to_timestamp(F.replace(value, F.lit(","), F.lit("")), F.lit(form)).cast("timestamp_ntz"))
+        return t.date_as(c, form)
     return t.date_in(c, dayfirst and strategy >= 2)
 
 
