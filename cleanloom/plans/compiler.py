@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions import text as t
-from cleanloom.operators import actions
+from cleanloom.operators import actions, programs
 from cleanloom.plans.model import Plan, Step, Unsupported
 
 
@@ -57,10 +57,15 @@ def compiled(df: DataFrame, plan: Plan) -> DataFrame:
     """df after a bound plan: no row is dropped, columns keep their places, the untouched ones their types.
 
     Steps are folded one projection each, so that an expression is written once however often the next
-    one uses it; Catalyst decides which of them to merge.
+    one uses it; Catalyst decides which of them to merge.  Only a custom step with a pandas program leaves
+    the JVM.
     """
     for names in _levels(plan):
-        df = df.withColumns({s.column: actions.apply(s, t.column(s.column)) for s in names})
+        plain = {s.column: actions.apply(s, t.column(s.column)) for s in names if "program" not in s.params}
+        df = df.withColumns(plain) if plain else df
+        for s in names:
+            if "program" in s.params:
+                df = programs.transformed(df, s.params["program"], s.params.get("types"))
     return df.withColumnsRenamed(plan.renames()) if plan.renames() else df
 
 

@@ -140,3 +140,14 @@ def test_what_cannot_be_compiled():
 def test_pipeline():
     stages = compiler.to_pipeline(Plan([Step("a", "strip"), Step("a", "rename", {"to": "b"})]), "clean_s")
     assert [next(iter(s)) for s in stages] == ["$set", "$set", "$unset", "$merge"]
+
+
+def test_pandas_programs(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "bb")], "n int, s string")
+    code = "def transform(df):\n    df['s'] = df['s'].str.len() + df['n']\n    return df"
+    out = compiler.compiled(df, Plan([Step("s", "custom", {"program": code, "types": {"s": "bigint"}}), Step("n", "rename", {"to": "m"})]))
+    assert [tuple(r) for r in out.collect()] == [(1, 2), (2, 4)]
+    with pytest.raises(PermissionError):
+        compiler.compiled(df, Plan([Step("s", "custom", {"program": "import os"})]))
+    with pytest.raises(Exception, match="the program made 1 rows of"):
+        compiler.compiled(df.coalesce(1), Plan([Step("s", "custom", {"program": "def transform(df):\n    return df.head(1)"})])).collect()
