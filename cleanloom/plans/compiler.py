@@ -17,6 +17,10 @@ from cleanloom.plans.model import Plan, Step, Unsupported
 PLACE = "__place"
 
 
+#: Actions that read a text without the white space around it.
+TRIMS = ("canonicalize", "cast_numeric", "parse_dates", "to_bool")
+
+
 def raw_before(plan: Plan, step: Step) -> Column:
     """The column as the step finds it: after the steps before."""
     c = t.column(step.column).cast("string")
@@ -61,6 +65,9 @@ def compiled(df: DataFrame, plan: Plan) -> DataFrame:
     the JVM.
     """
     for names in _levels(plan):
+        # trimmed text is used by many branches of one expression, so it gets a projection of its own
+        trimmed = {s.column: t.trimmed(t.column(s.column)) for s in names if s.action in TRIMS}
+        df = df.withColumns(trimmed) if trimmed else df
         plain = {s.column: actions.apply(s, t.column(s.column)) for s in names if "program" not in s.params}
         df = df.withColumns(plain) if plain else df
         for s in names:
