@@ -22,7 +22,7 @@ BLOCK = 4096
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, vector as doubles): one row for each key, the smallest vector of those it has.
 
-    Vectors that are null or hold null or non-finite components are left out.
+    Rows with a null key name no vector and are left out.  Vectors that are null or hold null or non-finite components are left out.
     """
     v = F.col(vector).cast("array<double>")
     fit = F.forall(v, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
@@ -167,7 +167,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     Every pair of different vectors is covered, by tiles of two blocks.  Equal vectors become one class
     first, so that a group of copies costs as one row.  Vectors that are null, zero, or hold null or
     non-finite components link with nothing and are their own component; so do, with each other,
-    vectors of different lengths.  A key that is repeated is one row, with its smallest usable vector.
+    vectors of different lengths.  A key that is repeated is one row, with its smallest usable vector;
+    rows with a null key are left out.
     """
     every = df.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
     rows = cut(usable(df, key, vector).where(F.exists("v", lambda x: x != 0)))
