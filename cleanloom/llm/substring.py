@@ -219,11 +219,11 @@ def _filter_of(anchors: DataFrame) -> np.ndarray:
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
     low, high = F.col("anchor"), F.shiftrightunsigned("anchor", 32)
     at = anchors.select(F.explode(F.array(*(x.bitwiseAND(F.lit(bits - 1)) for x in (low, high)))).alias("bit"))
-    filled = at.groupBy(F.expr("bit div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("v"))
-    table = filled.select("byte", F.col("v").cast("short")).toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    out[table["byte"].to_numpy()] = table["v"].to_numpy()
-    return out
+    filled = at.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
+    table = filled.toArrow()  # at most FILTER_BITS / 64 rows
+    out = np.zeros(bits // 64, "<i8")
+    out[table["word"].to_numpy()] = table["v"].to_numpy()
+    return out.view(np.uint8)
 
 
 def _passes(bloom: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -262,23 +262,30 @@ def spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             for found, row, base in blocks(b, window, gram):
                 at = np.flatnonzero(_passes(bloom, found.anchor) & (np.isin(found.anchor, hot) == single))
                 if single:
-                    n = found.count[at]
-                    at = np.repeat(at, n)
-                    begin = found.start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                    same = mixed(found.rolled(begin, begin + window)).view(np.int64)
-                else:
-                    begin, same = found.start[at], found.same(at)
+                    yield alone(found, at, id1, id2, row, base)
+                    continue
                 segment = found.segment[at]
-                offset = begin - found.origin[segment] + base[segment]
-                columns = [pa.array(found.anchor[at]), pa.array(same), pa.array(id1[row[segment]]), pa.array(id2[row[segment]]), pa.array(offset, pa.int64())]
-                names = ["anchor", "same", "id1", "id2", "start"]
-                if not single:
-                    columns.append(pa.array(found.symbols(at), pa.binary()))
-                    names.append("symbols")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    fields = "anchor long, same long, id1 long, id2 long, start long"
-    candidates = map_batches(source, lambda it: regions(it, False), f"{fields}, symbols binary")
+                offset = found.start[at] - found.origin[segment] + base[segment]
+                columns = [pa.array(found.anchor[at]), pa.array(found.same(at)), pa.array(id1[row[segment]]), pa.array(id2[row[segment]]), pa.array(offset, pa.int64()), pa.array(found.symbols(at), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "same", "id1", "id2", "start", "symbols"])
+
+    def alone(found: Regions, at: np.ndarray, id1: np.ndarray, id2: np.ndarray, row: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
+        """A row for each different window of a text, with all its places there."""
+        n = found.count[at]
+        at = np.repeat(at, n)
+        begin = found.start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        same, segment = mixed(found.rolled(begin, begin + window)).view(np.int64), found.segment[at]
+        order = np.lexsort((begin, same, found.anchor[at], segment))
+        at, begin, same, segment = at[order], begin[order], same[order], segment[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (same[1:] != same[:-1]) | (segment[1:] != segment[:-1]) | (found.anchor[at[1:]] != found.anchor[at[:-1]])
+        first = np.flatnonzero(new)
+        places = pa.ListArray.from_arrays(np.append(first, len(at)).astype(np.int32), pa.array(begin - found.origin[segment] + base[segment], pa.int64()))
+        of = row[segment[first]]
+        return pa.RecordBatch.from_arrays([pa.array(found.anchor[at[first]]), pa.array(same[first]), pa.array(id1[of]), pa.array(id2[of]), places], names=["anchor", "same", "id1", "id2", "starts"])
+
+    fields = "anchor long, same long, id1 long, id2 long"
+    candidates = map_batches(source, lambda it: regions(it, False), f"{fields}, start long, symbols binary")
     shards = candidates.repartition("anchor").sortWithinPartitions("anchor", "same")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,9 +312,10 @@ def spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
     found = map_batches(shards, shard, "id1 long, id2 long, start long, mask long")
     if len(hot):
-        single = map_batches(source, lambda it: regions(it, True), fields)
-        twice = single.groupBy("anchor", "same").count().where("count > 1").drop("count")
-        found = found.unionByName(single.join(twice, ["anchor", "same"]).select("id1", "id2", "start", F.lit(1).cast("long").alias("mask")))
+        single = map_batches(source, lambda it: regions(it, True), f"{fields}, starts array<long>")
+        twice = single.groupBy("anchor", "same").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").drop("n")
+        again_at = single.join(twice, ["anchor", "same"]).select("id1", "id2", F.explode("starts").alias("start"), F.lit(1).cast("long").alias("mask"))
+        found = found.unionByName(again_at)
     return found
 
 
