@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 LOW = 0xFFFFFFFF
+#: Fingerprints whose variants one task makes.
+FINGERPRINTS = 20_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -65,26 +67,31 @@ def balls(width: int, radius: int) -> list[int]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of column fp that connect whatever is within RADIUS bits."""
+    """Links (a, b) between distinct fingerprints of column fp that connect whatever is within RADIUS bits.
+
+    What is shuffled is kept narrow: x is the fingerprint with the half in question in front, so that the
+    least and greatest x of a group say both whether it has two fingerprints and whether their
+    halves differ; a key is that half's variant and, above its 32 bits, which half it is.
+    """
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(LOW))
     flip = F.when(F.col("i") % 33 == 0, F.lit(0)).otherwise(F.expr("shiftleft(1L, cast(i % 33 as int) - 1)"))
     second = F.col("i") >= 33
-    own: Column = F.when(second, low).otherwise(high)
-    met = (
-        fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("i"))
-        .select("fp", second.alias("second"), own.alias("own"), own.bitwiseXOR(flip).alias("near"))
+    x = F.when(second, F.shiftleft(low, 32).bitwiseOR(high)).otherwise(F.col("fp"))
+    met = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("i")).select(
+        F.shiftrightunsigned(x, 32).bitwiseXOR(flip).bitwiseOR(F.when(second, F.lit(LOW + 1)).otherwise(F.lit(0))).alias("key"), x.alias("x")
     )
-    at = ["second", "near"]
-    shared = met.groupBy(*at).agg(F.min("fp").alias("fp1"), F.max("fp").alias("fp2"), F.min("own").alias("own1"), F.max("own").alias("own2"))
+    own = lambda c: F.shiftrightunsigned(c, 32)
+    near = F.col("key").bitwiseAND(F.lit(LOW))
+    ends = met.groupBy("key").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).where("x1 <> x2")
     # a variant that is no fingerprint's own half counts where different halves meet; equal halves meet at their own
-    shared = shared.where("fp1 <> fp2").select(*at, (F.col("own1") != F.col("own2")).alias("mixed"))
-    some = met.join(shared, at).where("own = near or mixed")
-    rest = F.explode(F.when(F.col("own") == F.col("near"), F.lit(balls(32, 2))).otherwise(F.lit(balls(32, 1))))
-    variants = some.select("fp", "second", "near", rest.alias("mask")).select(
-        "fp",
-        F.when(F.col("second"), F.shiftleft(high.bitwiseXOR(F.col("mask")), 32).bitwiseOR(F.col("near")))
-        .otherwise(F.shiftleft("near", 32).bitwiseOR(low.bitwiseXOR(F.col("mask"))))
-        .alias("variant"),
+    shared = ends.select("key", (own("x1") != own("x2")).alias("mixed"))
+    some = met.join(shared, "key").where((own("x") == near) | F.col("mixed"))
+    rest = F.explode(F.when(own("x") == near, F.lit(balls(32, 2))).otherwise(F.lit(balls(32, 1))))
+    other = F.col("x").bitwiseAND(F.lit(LOW)).bitwiseXOR(F.col("mask"))
+    is_second = F.col("key") > LOW
+    variants = some.select("key", "x", rest.alias("mask")).select(
+        F.when(is_second, F.shiftleft("x", 32).bitwiseOR(own("x"))).otherwise(F.col("x")).alias("fp"),
+        F.when(is_second, F.shiftleft(other, 32).bitwiseOR(near)).otherwise(F.shiftleft(near, 32).bitwiseOR(other)).alias("variant"),
     )
     least = variants.withColumn("least", F.min("fp").over(W.partitionBy("variant")))
     out = least.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
@@ -100,7 +107,9 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     rows = cut(fingerprints(df, key, text))
     each = rows.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = components(links(each.select("fp")))
+    # a fingerprint becomes many rows, so few bytes of them must not be one task
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, rows.count() // FINGERPRINTS)
+    roots = components(links(each.select("fp").repartition(parts, "fp")))
     named = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(firsts, "root").select("fp", "component_id")
