@@ -28,7 +28,7 @@ STEPS = 48_000
 MOST_PASSES = 30
 THRESHOLD = 0.3
 #: Words that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Follow-the-regularised-leader: learning rate, its smoothing, and the weights of |w| and w**2 / 2.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.5
 
