@@ -13,12 +13,13 @@ fingerprints within 4 bits one 32-bit half differs in at most 2, so the halves'
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SEED = 42
 LOW = 0xFFFFFFFF
 #: Fingerprints whose variants one task makes.
 FINGERPRINTS = 20_000
+#: A column of our own beside those of the input.
+MARK = "__mark"
 
 
 def fingerprint(text: str | None) -> int:
@@ -50,15 +53,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long) for each row; fp has the fingerprint's 64 bits.  A null text has no words."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", beside: Sequence[str] = ()) -> DataFrame:
+    """(key, beside, fp long) for each row; fp has the fingerprint's 64 bits.  A null text has no words."""
+    names = [key, *beside]
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter(map(fingerprint, b.column(1).to_pylist()), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[key, "fp"])
+            fps = np.fromiter(map(fingerprint, b.column(len(names)).to_pylist()), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps)], names=[*names, "fp"])
 
-    return map_batches(df.select(key, F.col(text).cast("string").alias(text)), run, f"{key} {df.schema[key].dataType.simpleString()}, fp long")
+    return map_batches(df.select(*names, F.col(text).cast("string").alias(text)), run, f"{schema}, fp long")
 
 
 def balls(width: int, radius: int) -> list[int]:
@@ -98,29 +103,50 @@ def links(fps: DataFrame) -> DataFrame:
     return out.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mark(df: DataFrame) -> Column:
+    """A hash of all that a row holds; a map has no hash and does not count."""
+    names = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*(F.col(f"`{c}`") for c in names), *(F.col(f"`{c}`").isNull() for c in names))
+
+
+def first_row(key: str) -> Column:
+    """What orders the rows of a group: their key, null last, then their mark."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(MARK).alias("mark"))
+
+
+def first_rows(df: DataFrame, named: DataFrame, group: str, key: str) -> DataFrame:
+    """The rows of df that come first in their group; named has key, MARK and group of each row.
+
+    Neither a null key nor one that several rows share names a row, so the mark is compared too.  Rows
+    alike in both are repeated rows, of which one stays.
+    """
+    firsts = named.groupBy(group).agg(F.min(first_row(key)).alias("first")).select("first.key", "first.mark").distinct()
+    firsts = firsts.select(F.col("key").alias("__first_key"), F.col("mark").alias("__first_mark"))
+    marked = df.withColumn(MARK, mark(df))
+    same = marked[key].eqNullSafe(firsts["__first_key"]) & (marked[MARK] == firsts["__first_mark"])
+    return marked.join(firsts, same, "left_semi").dropDuplicates([key, MARK]).drop(MARK)
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", beside: Sequence[str] = ()) -> DataFrame:
     """(key, fingerprint, component_id) for each row: near-duplicates share a component_id, their smallest key.
 
     Null and empty texts have fingerprint zero and so are near-duplicates of each other.  Repeated rows
-    come out each; a null key is never a component_id unless no other is there.  Columns besides
-    key and text are not read.
+    come out each; a null key is never a component_id unless no other is there.  Of the columns besides
+    key and text those named in beside come out too, with `component`, the group's smallest fingerprint.
     """
-    rows = cut(fingerprints(df, key, text))
+    rows = cut(fingerprints(df, key, text, beside))
     each = rows.groupBy("fp").agg(F.min(key).alias("first"))
     # a fingerprint becomes many rows, so few bytes of them must not be one task
     parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, rows.count() // FINGERPRINTS)
     roots = components(links(each.select("fp").repartition(parts, "fp")))
     named = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(firsts, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = named.join(firsts, "root").select("fp", "component_id", F.col("root").alias("component"))
+    more = [*beside, "component"] if beside else []
+    return rows.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that are the first of their near-duplicate group; all its columns stay.
-
-    Of rows that repeat the first key of a group one is kept.
-    """
-    kept = groups(df, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
-    out = df.join(kept, df[key].eqNullSafe(kept["kept_key"]), "left_semi")
-    return out.dropDuplicates([key])
+    """One row of df for each near-duplicate group, the first by `first_row`; all its columns stay."""
+    named = groups(df.withColumn(MARK, mark(df)), key, text, [MARK])
+    return first_rows(df, named, "component", key)

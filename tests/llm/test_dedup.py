@@ -104,6 +104,18 @@ def test_groups(spark):
     assert simhash.groups(df.limit(0)).count() == 0
 
 
+def test_null_and_shared_keys_do_not_lose_texts(spark):
+    rnd = random.Random(8)
+    make = lambda: " ".join(rnd.choice("abcdefghijklmnop") * 3 + str(rnd.randrange(90)) for _ in range(80))
+    texts = [make() for _ in range(6)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (5, texts[2], "a"), (5, texts[3], "a"), (None, texts[4], "a"), (7, texts[4], "a"), (5, texts[2], "b"), (None, texts[1], "a"), (8, texts[5], "a"), (8, texts[5], "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = simhash.deduplicate(df)
+    assert got.columns == df.columns
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4]), (8, texts[5])]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 # -- repeated passages --------------------------------------------------------------------------
 
 
