@@ -102,6 +102,16 @@ def canonical_mapping(df: DataFrame, c: Column, most: int = 10_000) -> dict[str,
     return {r["key"]: r["spelling"] for r in rows}
 
 
+def unseen_mapping(df: DataFrame, c: Column, known: dict[str, str], most: int = 10_000) -> dict[str, str]:
+    """The spellings of folded texts that known lacks and that are spelled in several ways; the others stay as they are."""
+    v = t.trimmed(c)
+    varied = df.select(v.alias("v")).where("v <> ''").groupBy(F.lower("v").alias("key")).agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most")
+    keys = [r["key"] for r in varied.where(~F.col("key").isin(list(known))).select("key").limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} different texts are no categories")
+    return canonical_mapping(df.where(F.lower(v).isin(keys)), c, most) if keys else {}
+
+
 def all_whole(c: Column) -> Column:
     """Whether all numbers of a double column are whole, to 1e-9."""
     return F.coalesce(F.bool_and(F.abs(c - F.bround(c)) < 1e-9), F.lit(True))

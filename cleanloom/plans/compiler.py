@@ -35,7 +35,8 @@ def bind(df: DataFrame, plan: Plan) -> Plan:
     """The plan with every parameter that depends on the whole table, from one aggregate over it.
 
     Dates with strategy 0 get the format of the first value, numbers that should be whole lose that
-    wish if one of them is not, categories without a mapping get one.  A bound plan has a fixed schema.
+    wish if one of them is not, categories without a mapping get one, and a mapping (of a sample, say) the
+    spellings of the texts that it lacks.  A bound plan has a fixed schema.
     """
     plan = copy.deepcopy(plan)
     asked: dict[str, tuple[Step, Column]] = {}
@@ -44,9 +45,10 @@ def bind(df: DataFrame, plan: Plan) -> Plan:
             asked[f"w{i}"] = s, actions.all_whole(actions.cast_numeric(raw_before(plan, s), False, s.strategy))
         if s.action == "parse_dates" and s.strategy <= 0 and "form" not in s.params:
             asked[f"f{i}"] = s, actions.first_form(raw_before(plan, s), F.col(PLACE))
-        if s.action == "canonicalize" and not s.params.get("mapping"):
-            before = df.select(raw_before(plan, s).alias("v"))
-            s.params["mapping"] = actions.canonical_mapping(before, F.col("v"))
+        if s.action == "canonicalize":
+            before, known = df.select(raw_before(plan, s).alias("v")), s.params.get("mapping")
+            more = actions.unseen_mapping(before, F.col("v"), known) if known else actions.canonical_mapping(before, F.col("v"))
+            s.params["mapping"] = {**more, **(known or {})}
     if asked:
         row = df.withColumn(PLACE, F.monotonically_increasing_id()).agg(*(c.alias(k) for k, (_, c) in asked.items())).first()
         for k, (s, _) in asked.items():

@@ -1,15 +1,16 @@
 """Validation, memory, guards, sources, whole runs, streams and scores."""
 
+import dataclasses
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from cleanloom.operators import datagen, guard, issues, score, validate
+from cleanloom.operators import actions, datagen, guard, issues, score, validate
 from cleanloom.operators.profile import profile
 from cleanloom.plans import compiler, engine, memory
 from cleanloom.plans.model import Plan, Settings, Step
-from cleanloom.plans.planner import RulePlanner
+from cleanloom.plans.planner import Planned, RulePlanner
 from cleanloom.sources import spec, tables
 from cleanloom.streaming import apply as streaming
 
@@ -207,6 +208,25 @@ def test_days_that_come_first_are_repaired(spark, tmp_path, settings):
     assert done.state["attempts"] > 1
 
 
+class Categories(RulePlanner):
+    def plan(self, profile, issues, sample, target=None, hint=None):
+        mapping = actions.canonical_mapping(sample, F.col("colour"))
+        assert "teal" not in mapping
+        return Planned(Plan([Step("colour", "canonicalize", {"mapping": mapping})], 0.9))
+
+
+def test_categories_that_the_sample_misses_get_one_spelling(spark, tmp_path, settings, monkeypatch):
+    path = str(tmp_path / "colours.parquet")
+    df = spark.createDataFrame([(i, ["Red", "red ", "Red"][i % 3]) for i in range(300)] + [(900, "TEAL"), (901, "Teal"), (902, " Teal"), (903, "teal"), (904, "once ")], "k int, colour string")
+    df.write.parquet(path)
+    ingest = tables.ingest
+    monkeypatch.setattr(tables, "ingest", lambda *a: (lambda got: dataclasses.replace(got, sample=got.sample.where("k < 300")))(ingest(*a)))
+    done = engine.Engine(spark, settings, Categories()).run(path)
+    assert done.status == "succeeded"
+    out = {r["k"]: r["colour"] for r in spark.read.parquet(done.state["output"]).collect()}
+    assert set(out.values()) == {"Red", "Teal", "once"} and {out[k] for k in range(900, 904)} == {"Teal"}
+
+
 class Doubtful(RulePlanner):
     def plan(self, *args, **kwargs):
         got = super().plan(*args, **kwargs)
