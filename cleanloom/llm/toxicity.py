@@ -8,7 +8,7 @@ clause's weight; a text's score is a logistic function of what its clauses weigh
 
 The insult transducer's words and stems, with their weights, are learned from labels, beside a short
 general list.  Clauses without an insult or threat end in the empty state, so only clauses around
-the words that an Aho-Corasick automaton finds are read.
+the words that an Aho-Corasick automaton finds are read, each as a whole however long it is.
 """
 
 from __future__ import annotations
@@ -44,8 +44,6 @@ SHORTEST, LONGEST, MOST = 3, 8, 4
 CANDIDATES, PATTERNS = 600, 80
 #: Words that a negation governs, and how far a target may be from an insult.
 SCOPE, AIM = 3, 6
-#: Characters on either side of an insult or threat that are read of its clause.
-REACH = 240
 THRESHOLD = 0.5
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -130,10 +128,9 @@ class Grammar:
         for at in self.heads_in(low):
             if at < done:
                 continue
-            since = max(done, 0, at - REACH)
-            begin = max((m.end() for m in EDGE.finditer(low, since, at)), default=since)
-            edge = EDGE.search(low, at, at + REACH)
-            done = edge.start() if edge else min(len(low), at + REACH)
+            begin = max((m.end() for m in EDGE.finditer(low, max(done, 0), at)), default=max(done, 0))
+            edge = EDGE.search(low, at)
+            done = edge.start() if edge else len(low)
             for state, w in self.clause(WORD.findall(low, begin, done)).items():
                 total[state] += w
         # states whose evidence is rare in labels share the logarithm of the plain ones, at a fixed discount

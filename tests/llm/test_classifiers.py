@@ -1,5 +1,6 @@
 """The toxicity grammar and the quality classifier: held-out accuracy and defined edge cases."""
 
+import math
 import random
 import zlib
 
@@ -70,6 +71,18 @@ def test_held_out_rows_are_not_learned_from(made):
     assert toxicity.train(docs, labels).patterns == toxicity.train(docs, lying).patterns
 
 
+def test_long_clauses_are_read_whole():
+    grammar = toxicity.Grammar({"idiot ": 2.0, "zorq ": 1.0})
+    weighed = lambda text: grammar.features(text)[0]
+    both = math.log1p(3.0)
+    for gap in range(225, 245):  # the second insult lies across what was the end of the first one's reach
+        assert weighed("idiot" + " " + "x" * gap + " zorq") == pytest.approx(both)
+    far = " ".join(["word"] * 200)
+    assert weighed(f"she said {far} idiot") == 0 and weighed(f"she said. {far} idiot") == pytest.approx(math.log1p(2.0))
+    assert weighed(f"idiot {far} she said {far} zorq") == pytest.approx(math.log1p(2.0))
+    assert weighed("idiot not " + "x" * 300 + " zorq") == pytest.approx(math.log1p(2.0))
+
+
 def test_the_sample_is_bounded(made):
     docs, labels = made
     assert labelled.sample(docs, labels, "toxic", 50).select("place").distinct().count() <= 50
