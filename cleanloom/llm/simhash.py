@@ -1,20 +1,22 @@
 """Near-duplicate documents by SimHash and ball hashing that meets in the middle.
 
 Two fingerprints within RADIUS bits have a common variant within half the radius of both, so every
-fingerprint emits the variants of its half-radius ball and those that meet are linked.  Whatever
-meets is within RADIUS, so a group needs one link from each fingerprint to its smallest, not
-its pairs; a variant's ball bounds the group.
+fingerprint emits the variants of its half-radius ball, and those that meet are verified and linked.
 
 Emitting whole balls (2081 variants of 64 bits) for every fingerprint would cost most of the job for
 fingerprints that meet none.  So the variants are emitted in two steps that lose nothing.  Of two
 fingerprints within 4 bits one 32-bit half differs in at most 2, so the halves' balls of radius 1
-(33 variants each) meet; only where they do are the variants of the other half emitted.
+(33 variants each) meet, in a bucket.  The fingerprints of a bucket are then verified: up to BUCKET of
+them by their distances, of which a forest comes out and not the pairs; more by emitting the variants of
+the other half too.  Whatever meets at a whole variant is within RADIUS, so there one link from each to
+the smallest will do.  Up to BUCKET rows a distance to each other one costs less than 33 to 529 variants
+that are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 LOW = 0xFFFFFFFF
+#: Fingerprints of a bucket that are compared with each other, and rows of buckets that are held at once.
+BUCKET, ROWS = 4096, 1 << 16
 #: Fingerprints whose variants one task makes.
 FINGERPRINTS = 20_000
 #: A column of our own beside those of the input.
@@ -71,12 +75,69 @@ def balls(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
 
 
+def forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the fingerprints of a bucket (rows of one key, side by side) that are within RADIUS bits.
+
+    Each row is compared with the next one of its bucket, then with the one after that, and so on.  Of the
+    pairs that are near only those are kept that join two parts which were apart until then.
+    """
+    nodes, node = np.unique(fp, return_inverse=True)
+    part, found = np.arange(len(nodes)), [(fp[:0], fp[:0])]
+    at, step = np.arange(len(fp)), 1
+    while len(at := at[at + step < len(fp)]) and len(at := at[key[at] == key[at + step]]):
+        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= RADIUS]
+        u, v = part[node[near]], part[node[near + step]]
+        _, first = np.unique(np.minimum(u, v) * len(nodes) + np.maximum(u, v), return_index=True)
+        first = first[u[first] != v[first]]
+        if len(first):
+            near, u, v = near[first], u[first], v[first]
+            found.append((fp[near], fp[near + step]))
+            while (part[u] != part[v]).any():
+                np.minimum.at(part, np.maximum(part[u], part[v]), np.minimum(part[u], part[v]))
+                while (part != part[part]).any():
+                    part = part[part]
+        step += 1
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within buckets, from their rows (key, x) in the order of keys."""
+    held, n = [], 0
+    for b in chain(batches, [None]):
+        if b is not None:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)))
+            n += b.num_rows
+        if n == 0 or b is not None and n < ROWS:
+            continue
+        key, x = map(np.concatenate, zip(*held, strict=True))
+        end = n if b is None else int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+        held, n = [(key[end:], x[end:])], n - end
+        key, x = key[:end], x[:end]
+        fp = np.where(key > LOW, x << np.uint64(32) | x >> np.uint64(32), x)
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in forest(key, fp)], names=["a", "b"])
+
+
+def split(met: DataFrame) -> DataFrame:
+    """Links within buckets (key, x) by the variants of the other half: two that meet at a whole variant are near."""
+    own, near = F.shiftrightunsigned("x", 32), F.col("key").bitwiseAND(F.lit(LOW))
+    rest = F.explode(F.when(own == near, F.lit(balls(32, 2))).otherwise(F.lit(balls(32, 1))))
+    other = F.col("x").bitwiseAND(F.lit(LOW)).bitwiseXOR(F.col("mask"))
+    is_second = F.col("key") > LOW
+    variants = met.select("key", "x", rest.alias("mask")).select(
+        F.when(is_second, F.shiftleft("x", 32).bitwiseOR(own)).otherwise(F.col("x")).alias("fp"),
+        F.when(is_second, F.shiftleft(other, 32).bitwiseOR(near)).otherwise(F.shiftleft(near, 32).bitwiseOR(other)).alias("variant"),
+    )
+    least = variants.withColumn("least", F.min("fp").over(W.partitionBy("variant")))
+    out = least.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return out.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints of column fp that connect whatever is within RADIUS bits.
 
-    What is shuffled is kept narrow: x is the fingerprint with the half in question in front, so that the
-    least and greatest x of a group say both whether it has two fingerprints and whether their
-    halves differ; a key is that half's variant and, above its 32 bits, which half it is.
+    What is shuffled is kept narrow: x is the fingerprint with the half in question in front; a key is
+    that half's variant and, above its 32 bits, which half it is.  Where all halves of a bucket are
+    equal, only the key that is that half counts.
     """
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(LOW))
     flip = F.when(F.col("i") % 33 == 0, F.lit(0)).otherwise(F.expr("shiftleft(1L, cast(i % 33 as int) - 1)"))
@@ -85,22 +146,11 @@ def links(fps: DataFrame) -> DataFrame:
     met = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("i")).select(
         F.shiftrightunsigned(x, 32).bitwiseXOR(flip).bitwiseOR(F.when(second, F.lit(LOW + 1)).otherwise(F.lit(0))).alias("key"), x.alias("x")
     )
-    own = lambda c: F.shiftrightunsigned(c, 32)
-    near = F.col("key").bitwiseAND(F.lit(LOW))
-    ends = met.groupBy("key").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).where("x1 <> x2")
-    # a variant that is no fingerprint's own half counts where different halves meet; equal halves meet at their own
-    shared = ends.select("key", (own("x1") != own("x2")).alias("mixed"))
-    some = met.join(shared, "key").where((own("x") == near) | F.col("mixed"))
-    rest = F.explode(F.when(own("x") == near, F.lit(balls(32, 2))).otherwise(F.lit(balls(32, 1))))
-    other = F.col("x").bitwiseAND(F.lit(LOW)).bitwiseXOR(F.col("mask"))
-    is_second = F.col("key") > LOW
-    variants = some.select("key", "x", rest.alias("mask")).select(
-        F.when(is_second, F.shiftleft("x", 32).bitwiseOR(own("x"))).otherwise(F.col("x")).alias("fp"),
-        F.when(is_second, F.shiftleft(other, 32).bitwiseOR(near)).otherwise(F.shiftleft(near, 32).bitwiseOR(other)).alias("variant"),
-    )
-    least = variants.withColumn("least", F.min("fp").over(W.partitionBy("variant")))
-    out = least.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
-    return out.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    own, near, bucket = F.shiftrightunsigned("x", 32), F.col("key").bitwiseAND(F.lit(LOW)), W.partitionBy("key")
+    sized = met.select("key", "x", F.count("*").over(bucket).alias("n"), (F.min(own).over(bucket) != F.max(own).over(bucket)).alias("mixed"))
+    met = cut(sized.where((F.col("n") > 1) & ((own == near) | F.col("mixed"))).drop("mixed"))
+    small = met.where(F.col("n") <= BUCKET).select("key", "x").repartition("key").sortWithinPartitions("key", "x")
+    return map_batches(small, compared, "a long, b long").unionByName(split(met.where(F.col("n") > BUCKET))).distinct()
 
 
 def mark(df: DataFrame) -> Column:

@@ -66,7 +66,13 @@ def test_fingerprints():
         assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
-def test_links_connect_what_is_within_the_radius(spark):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("bucket", [4096, 2, 1])
+def test_links_connect_what_is_within_the_radius(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rnd = random.Random(11)
     base = [rnd.getrandbits(64) for _ in range(60)] + [0, (1 << 64) - 1]
     fps = set(base)
@@ -74,13 +80,33 @@ def test_links_connect_what_is_within_the_radius(spark):
         for _ in range(6):
             fps.add(b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(1, 6))))
     fps = sorted(fps)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     got = {(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()}
     want = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin(a ^ b).count("1") <= 4]
     assert all(bin(a ^ b).count("1") <= 4 for a, b in got)
     assert roots(fps, got) == roots(fps, want)
 
 
+@pytest.mark.parametrize(("bucket", "rows"), [(4096, 1 << 16), (300, 4000)])
+def test_a_dense_group_is_linked_without_its_pairs(spark, monkeypatch, bucket, rows):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    rnd, base = random.Random(12), random.Random(13).getrandbits(64)
+    fps = {base ^ sum(1 << k for k in rnd.sample(range(64), rnd.choice([1, 2, 3, 4, 4, 4, 7, 9]))) for _ in range(5000)}
+    fps = np.array(sorted(fps), np.uint64)
+    got = simhash.links(spark.createDataFrame([(signed(int(x)),) for x in fps], "fp long"))
+    rows_ = got.collect()
+    a, b = (np.array([r[c] for r in rows_], np.int64).view(np.uint64) for c in ("a", "b"))
+    assert np.bitwise_count(a ^ b).max() <= 4
+    assert len(rows_) < 100 * len(fps)
+    label = np.arange(len(fps))
+    a, b = np.searchsorted(fps, a), np.searchsorted(fps, b)
+    while (label[a] != label[b]).any():
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+    for i, x in enumerate(fps):
+        assert (label[np.bitwise_count(fps ^ x) <= 4] == label[i]).all()
+
+
 def test_groups(spark):
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(500)]
