@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding as streaming transducers.
 
 The encoder reads bytes left to right.  For every prefix of its input it knows the last
-token of that prefix's encoding: the one vocabulary token ending there which fits the last
-token of the prefix before it.  Two neighbouring tokens fit if no merge rule ever joins
+token of that prefix's encoding: the longest vocabulary token ending there which fits the last
+token of the prefix before it; an automaton over the vocabulary names those that end there.  Two neighbouring tokens fit if no merge rule ever joins
 across their border, which the two tokens' own derivations decide.  A token is emitted as
 soon as no future byte can change it.  How far the future can reach back is a property of
 the merge list alone, its *sufficient lookahead*, and is computed once from the rules
@@ -13,7 +13,8 @@ The decoder is a state machine from ids to text that carries the bytes of an unf
 character from one id to the next.
 
 Texts are cut at the places where a run of white space starts, which no pretoken ever
-crosses, and equal pieces of a group of texts are encoded once.
+crosses, and equal pieces of a group of texts are encoded once; so are equal pretokens, as long as a
+memo of bounded size knows them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +36,8 @@ import regex
 SPACE = " \t\n\r\x0b\x0c\x85\xa0                　"
 #: Fixed value: the byte-level pre-tokenizer's expression.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PAIRS = 300_000
+#: Pairs of tokens and pretokens that are remembered, and bytes that are read at once.
+PAIRS, PRETOKENS = 300_000, 300_000
 LONG = 512
 #: Characters that are encoded together.
 WINDOW = 1 << 22
@@ -63,6 +67,10 @@ class Merges:
         self.fits_memo: dict[int, bool] = {}
         self.token = {t: i for t, i in tokens.items() if self._sound(i)}
         self.longest = max(map(len, self.token))
+        self.tails = ahocorasick.Automaton()
+        for t, i in self.token.items():
+            self.tails.add_word(t.decode("latin-1"), (len(t), i))
+        self.tails.make_automaton()
         self.lookahead = self._lookahead(tokens)
 
     def _spine(self, token: int, side: int) -> tuple[tuple[int, float], ...]:
@@ -161,17 +169,21 @@ class Transducer:
         return out
 
     def _step(self, data: bytes) -> list[int]:
-        m, last = self.merges, self.last
-        begin, self.held = len(self.held), self.held + data
-        held, token, fits, longest = self.held, m.token, m.fits, m.longest
-        for end in range(begin + 1, len(held) + 1):
-            for start in range(max(0, end - longest), end):
-                t = token.get(held[start:end])
-                if t is not None and (not start or fits(last[start - 1], t)):
-                    last.append(t)
-                    break
-        if len(held) > 2 * m.lookahead:
-            return self._emit(len(held) - m.lookahead)
+        m, last, known, fits = self.merges, self.last, self.merges.fits_memo.get, self.merges.fits
+        done = len(self.held)
+        self.held += data
+        for end, (size, t) in m.tails.iter(self.held.decode("latin-1"), max(0, done + 1 - m.longest)):
+            if end < done:
+                continue  # a longer token ends here, or the place was read before
+            if size <= end:
+                before = last[end - size]
+                ok = known(before << 32 | t)
+                if not (fits(before, t) if ok is None else ok):
+                    continue
+            last.append(t)
+            done += 1
+        if len(self.held) > 2 * m.lookahead:
+            return self._emit(len(self.held) - m.lookahead)
         return []
 
     def _emit(self, stable: int) -> list[int]:
@@ -196,7 +208,7 @@ Ragged = tuple[np.ndarray, np.ndarray]  # all items one after the other, and the
 
 
 def ragged(items: list[list[int]]) -> Ragged:
-    return np.array([x for ids in items for x in ids], np.int64), np.array([len(x) for x in items], np.int64)
+    return np.fromiter(chain.from_iterable(items), np.int64), np.fromiter(map(len, items), np.int64, len(items))
 
 
 def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> Ragged:
@@ -219,40 +231,30 @@ def joined(items: pa.Array, between: str | bytes) -> str | bytes:
 
 
 class Streaming:
-    """Pieces of text to ids by the merge list.
-
-    A pretoken of up to LONG bytes is a window that closes itself: all such pretokens of a batch
-    are merged side by side.  A longer one goes through a `Transducer`.
-    """
+    """Pieces of text to ids by the merge list: every pretoken goes through a `Transducer`."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
         self.pretoken = regex.compile(PRETOKEN)
         self.special = re.compile("|".join(map(re.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
-        self.alphabet = np.array([merges.token[bytes([b])] for b in range(256)], np.int64)
-        self.table = PairTable(merges)
+        self.known: dict[str, list[int]] = {}
 
     def words(self, texts: list[str]) -> Ragged:
         """Ids of each pretoken."""
         coded = pa.array(texts, pa.large_string()).dictionary_encode()
-        return gathered(*self._merged(coded.dictionary.cast(pa.large_binary())), coded.indices.to_numpy())
-
-    def _merged(self, words: pa.Array) -> Ragged:
-        sizes = pc.binary_length(words).to_numpy()
-        long = {i: self._long(words[i].as_py()) for i in np.flatnonzero(sizes > LONG).tolist()}
-        data = np.frombuffer(joined(words, b""), np.uint8)
-        if long:
-            data, sizes = data[np.repeat(sizes <= LONG, sizes)], np.where(sizes <= LONG, sizes, 0)
-        flat, sizes = self.table.merged(self.alphabet[data], sizes)
-        if long:
-            ends = np.cumsum(sizes)
-            flat = np.insert(flat, np.repeat(ends[list(long)], list(map(len, long.values()))), [x for ids in long.values() for x in ids])
-            sizes[list(long)] = list(map(len, long.values()))
-        return flat, sizes
-
-    def _long(self, word: bytes) -> list[int]:
-        one = Transducer(self.merges)
-        return one.push(word) + one.close()
+        return gathered(*ragged([self._ids(w) for w in coded.dictionary.to_pylist()]), coded.indices.to_numpy())
+
+    def _ids(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            data, one = word.encode(), Transducer(self.merges)
+            whole = self.merges.token.get(data)  # such a token ends the word and fits its start, whatever lies between
+            ids = one.push(data) + one.close() if whole is None else [whole]
+            if len(word) <= LONG:
+                if len(self.known) >= PRETOKENS:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
 
     def spaced(self, pieces: pa.Array) -> Ragged:
         """Each piece has one blank before it and none in it, so a pretoken with a blank starts the next."""
@@ -287,78 +289,6 @@ class Streaming:
         return flat, summed(sizes, np.array(counts, np.int64))
 
 
-class PairTable:
-    """The merge rules as a hash table that numpy can ask for many pairs at once."""
-
-    NONE = np.iinfo(np.int64).max
-
-    def __init__(self, merges: Merges):
-        self.product = np.array([t for t, _ in sorted(((merges.token[merges.bytes_of[a] + merges.bytes_of[b]], o) for (a, b), o in merges.rule.items()), key=lambda x: x[1])], np.int64)
-        keys = np.array([a << 32 | b for a, b in merges.rule], np.int64)
-        orders = np.array(list(merges.rule.values()), np.int64)
-        self.bits = max(8, int(len(keys)).bit_length() + 3)
-        self.levels = []  # what collides in one level goes to the next, which has another multiplier
-        odd = 0x9E3779B97F4A7C15
-        while len(keys):
-            slot = self._slot(keys, odd)
-            order = np.argsort(slot, kind="stable")
-            first = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]
-            key, value = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE, np.int64)
-            key[slot[first]], value[slot[first]] = keys[first], orders[first]
-            self.levels.append((odd, key, value))
-            rest = np.ones(len(keys), bool)
-            rest[first] = False
-            keys, orders, odd = keys[rest], orders[rest], (odd * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
-
-    def _slot(self, keys: np.ndarray, odd: int) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(odd)) >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def orders(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The order of the rule for each pair, NONE without a rule."""
-        keys = left << 32 | right
-        out = np.full(len(keys), self.NONE, np.int64)
-        for odd, key, value in self.levels:
-            slot = self._slot(keys, odd)
-            out = np.where(key[slot] == keys, value[slot], out)
-        return out
-
-    def merged(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Applies the rules inside each word (of `sizes` tokens) until none applies."""
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        out_token, out_word = [], []
-        order = np.full(len(tokens), self.NONE, np.int64)
-        if len(tokens) > 1:
-            inner = np.flatnonzero(word[1:] == word[:-1])
-            order[inner] = self.orders(tokens[inner], tokens[inner + 1])
-        while len(tokens):
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            least = np.repeat(np.minimum.reduceat(order, starts), np.diff(starts, append=len(word)))
-            live = least != self.NONE
-            if not live.all():
-                out_token.append(tokens[~live])
-                out_word.append(word[~live])
-                tokens, word, order, least = tokens[live], word[live], order[live], least[live]
-            hit = order == least
-            hit[1:] &= ~hit[:-1] | (order[1:] == self.NONE)  # equal rules that overlap: the left one now
-            at = np.flatnonzero(hit)
-            tokens[at] = self.product[order[at]]
-            keep = np.ones(len(tokens), bool)
-            keep[at + 1] = False
-            tokens, word, order = tokens[keep], word[keep], order[keep]
-            made = at - np.arange(len(at))
-            touched = np.zeros(len(tokens) + 1, bool)
-            touched[made] = touched[made - 1] = True  # the extra place takes what is before the first
-            again = np.flatnonzero(touched[:-1])
-            order[again] = self.NONE
-            again = again[again + 1 < len(tokens)]
-            again = again[word[again] == word[again + 1]]
-            order[again] = self.orders(tokens[again], tokens[again + 1])
-        if not out_token:
-            return tokens, sizes
-        token, word = np.concatenate(out_token), np.concatenate(out_word)
-        return token[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(sizes))
-
-
 class Library:
     """Pieces of text to ids by the tokenizers library.
 
