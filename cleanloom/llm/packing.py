@@ -1,11 +1,15 @@
 """Packs documents' tokens into sequences of one length, by hierarchical best fit.
 
-Each input partition cuts its documents into pieces and fits the pieces, longest first, each into
-the fullest sequence that still has room.  Nearly full sequences are done.  The underfull ones go up
-a tree whose nodes join FAN children each, as items that are fitted again.  Two underfull
-sequences of at most half the length would have been joined, so a node has at most one of those
-left; of the larger ones it passes on the PASSED with most room and ends the others as they are,
-so that no node holds more than FAN * (PASSED + 1) items, whatever the input.
+Documents are encoded and cut into pieces where they are.  The pieces, a few numbers each, are dealt
+evenly to leaves of about LEAF pieces, so that each leaf has a mix of the whole corpus and not the sizes of
+one source.  A leaf fits its pieces, longest first, each into the fullest sequence that still has
+room.  Nearly full sequences are done.  The underfull ones go up a tree whose nodes join FAN children
+each, as items that are fitted again.
+
+Two sequences of at most half the length would have been joined, so a node has at most one of those left.
+Of two larger ones neither fits into the other, so whatever still can be joined is one of the small
+sequences of the leaves with some larger one, and no more larger ones are of use than there are
+leaves.  A node passes on as many, those with most room: they take whatever any other would take.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ from cleanloom.llm.common import cut, map_batches, tokenizer_path
 #: A sequence with at most this much room is done.
 SLACK = 4
 FAN = 8
-PASSED = 2048
-#: Pieces that a partition fits together.
-BLOCK = 250_000
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, node int, done boolean"
+#: Pieces of a leaf, about.
+LEAF = 50_000
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SCHEMA = f"{PIECES}, sequence_id long, offset long, node int, done boolean"
+
+
+PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def best_fit(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +94,6 @@ class Rows:
     def take(rows: dict[str, np.ndarray], where: np.ndarray) -> dict[str, np.ndarray]:
         return {k: v[where] for k, v in rows.items()}
 
-    @staticmethod
-    def join(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-
 
 def pieces(key: int | None, ids: np.ndarray, room: int) -> Iterator[tuple]:
     """(doc_id, piece, start, length, crc) with only the first piece short."""
@@ -113,45 +116,21 @@ def pack(df: DataFrame, length: int = 2048, end_id: int = 0, tokenizer: str | No
     """
     path = tokenizer or tokenizer_path()
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, node = bpe.library_encoder(path), TaskContext.get().partitionId()
-        held: list[dict[str, np.ndarray]] = []
-        fresh: list[tuple] = []
-        made = node << 36
-
-        def block(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal made, held, fresh
-            if fresh:
-                columns = list(zip(*fresh, strict=True))
-                absent = np.array([k is None for k in columns[0]])
-                new = {"doc_id": np.array([k or 0 for k in columns[0]], np.int64), "absent": absent}
-                new |= {n: np.array(c, np.int64) for n, c in zip(("piece", "start", "length", "ids_crc32"), columns[1:], strict=True)}
-                held.append(new | {"sequence_id": made + np.arange(len(fresh)), "offset": np.zeros(len(fresh), np.int64)})
-                made += len(fresh)
-                fresh = []
-            if not held:
-                return
-            rows = Rows.fit(Rows.join(held), length)
-            done = Rows.filled(rows) >= length - SLACK
-            out = np.ones(len(done), bool) if last else done
-            held = [] if last else [Rows.take(rows, ~out)]
-            yield Rows.batch(Rows.take(rows, out), node, done[out])
-
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = bpe.library_encoder(path)
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), encoder.many(b.column(1).to_pylist()), strict=True):
-                fresh += pieces(key, np.append(ids, np.uint32(end_id)), length)
-            if len(fresh) >= BLOCK:
-                yield from block(False)
-        yield from block(True)
+            made = [p for key, ids in zip(b.column(0).to_pylist(), encoder.many(b.column(1).to_pylist()), strict=True) for p in pieces(key, np.append(ids, np.uint32(end_id)), length)]
+            columns = zip(*made, strict=True) if made else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(Rows.NAMES, columns, strict=False)], names=Rows.NAMES[:5])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    level = cut(map_batches(rows, local, SCHEMA))
-    ended = [level.where("done")]
-    open_ = level.where("not done")
-    nodes = (open_.agg(F.max("node")).first()[0] or 0) + 1
+    cut_up = cut(map_batches(rows, encoded, PIECES))
+    leaves = max(1, -(-cut_up.count() // LEAF))
+    level = cut(cut_up.repartition(leaves).mapInArrow(leaf(length, leaves), SCHEMA))
+    ended, open_, nodes = [level.where("done")], level.where("not done"), leaves
     while nodes > 1:
         nodes = -(-nodes // FAN)
-        level = cut(open_.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("node").applyInArrow(merged(length), SCHEMA))
+        level = cut(open_.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("node").applyInArrow(merged(length, leaves), SCHEMA))
         ended.append(level.where("done"))
         open_ = level.where("not done")
     out = open_
@@ -160,17 +139,37 @@ def pack(df: DataFrame, length: int = 2048, end_id: int = 0, tokenizer: str | No
     return out.drop("node", "done")
 
 
-def merged(length: int):
+def leaf(length: int, leaves: int):
+    """Fits the pieces of a partition; sequences are numbered by leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, table = TaskContext.get().partitionId(), pa.Table.from_batches(batches, PIECE_SCHEMA)
+        if table.num_rows:
+            rows = columns_of(table, Rows.NAMES[:5])
+            rows |= {"sequence_id": (node << 36) + np.arange(table.num_rows), "offset": np.zeros(table.num_rows, np.int64)}
+            yield fitted(rows, node, length, leaves)
+
+    return run
+
+
+def merged(length: int, leaves: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = {n: table[n].fill_null(0).to_numpy().astype(np.int64) for n in Rows.NAMES}
-        rows["absent"] = table["doc_id"].is_null().to_numpy()
+        rows = columns_of(table, Rows.NAMES)
         order = np.lexsort((rows["offset"], rows["sequence_id"]))
-        rows = Rows.fit(Rows.take(rows, order), length)
-        filled = Rows.filled(rows)
-        done = filled >= length - SLACK
-        large = ~done & (filled > length // 2)
-        kept = np.unique(np.stack([filled[large], rows["sequence_id"][large]]), axis=1)[:, :PASSED]
-        done |= large & ~np.isin(rows["sequence_id"], kept[1])
-        return pa.Table.from_batches([Rows.batch(rows, table["node"][0].as_py(), done)])
+        return pa.Table.from_batches([fitted(Rows.take(rows, order), table["node"][0].as_py(), length, leaves)])
 
     return run
+
+
+def columns_of(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    return {n: table[n].fill_null(0).to_numpy().astype(np.int64) for n in names} | {"absent": table["doc_id"].is_null().to_numpy()}
+
+
+def fitted(rows: dict[str, np.ndarray], node: int, length: int, leaves: int) -> pa.RecordBatch:
+    """The sequences named in rows after one more fit; done are those that nothing can be joined to."""
+    rows = Rows.fit(rows, length)
+    filled = Rows.filled(rows)
+    done = filled >= length - SLACK
+    large = ~done & (filled > length // 2)
+    passed = np.unique(np.stack([filled[large], rows["sequence_id"][large]]), axis=1)[1, :leaves]
+    return Rows.batch(rows, node, done | large & ~np.isin(rows["sequence_id"], passed))

@@ -153,8 +153,10 @@ def check_packing(rows, texts, room):
     return len(by_bin)
 
 
-def test_packing(spark, none, monkeypatch):
+@pytest.mark.parametrize("leaf", [50_000, 90])
+def test_packing(spark, none, monkeypatch, leaf):
     monkeypatch.setattr(packing, "FAN", 2)
+    monkeypatch.setattr(packing, "LEAF", leaf)
     rnd = random.Random(1)
     texts = {i: " ".join(rnd.choice(["one", "two", "three", "é"]) for _ in range(rnd.randint(0, 160))) for i in range(400)} | {400: None, 401: "a b c " * 900}
     df = spark.createDataFrame([(k, v, k) for k, v in texts.items()], "doc_id long, text string, sequence_id long").repartition(7)
@@ -165,12 +167,21 @@ def test_packing(spark, none, monkeypatch):
 
 
 def test_packing_ends_what_cannot_be_joined(spark, monkeypatch):
-    monkeypatch.setattr(packing, "PASSED", 3)
+    monkeypatch.setattr(packing, "LEAF", 10)
     texts = {i: "one two three four five six" * 3 for i in range(50)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     assert check_packing(packing.pack(df, 24).collect(), texts, 24) == 50
 
 
+def test_packing_joins_sizes_that_lie_apart(spark, monkeypatch):
+    """Sizes that only fit together, each in partitions of its own, more of each than a leaf takes."""
+    monkeypatch.setattr(packing, "LEAF", 500)
+    texts = {i: "a " * (32 if i < 1500 else 28) + "a" for i in range(3000)}
+    assert {len(library(texts[i])) for i in (0, 2999)} == {33, 29}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(6, "doc_id")
+    assert check_packing(packing.pack(df, 64).collect(), texts, 64) <= 1.1 * 1500
+
+
 def test_packing_keeps_repeated_rows_and_null_keys(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert sorted((r["doc_id"] is None, r["length"]) for r in packing.pack(df).collect()) == [(False, 3), (False, 3), (True, 2)]
