@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that go to a Python worker at once: whole texts can be long.
-BATCH_ROWS = 2000
+#: Rows and bytes that go to a Python worker at once, a longer row alone: whole texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -47,7 +47,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in bounded batches.  The session's limits hold for plans that run later, so they are lowered where they are wider."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b")
+        if not now.isdigit() or int(now) not in range(1, most + 1):
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(run, schema)
+
+
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names called otherwise, and what gives them their names back."""
+    own = {c.lower() for c in df.columns}
+    moved = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"{c}_"
+            while new.lower() in own:
+                new += "_"
+            moved[c] = new
+            own.add(new.lower())
+    return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed({v: k for k, v in moved.items()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         low = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(low.unionByName(small.withColumnRenamed("m", "v")).distinct())
+
+
+def join_parts(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Joins the parts of nodes i[k] and j[k] in place; gives the k whose links are needed for that.
+
+    part[x] is the smallest node of x's part.  Of the links between the same two parts one is taken, so that
+    those taken over many calls stay near a forest.
+    """
+    u, v = part[i], part[j]
+    apart = np.flatnonzero(u != v)
+    u, v = u[apart], v[apart]
+    _, first = np.unique(np.minimum(u, v) * len(part) + np.maximum(u, v), return_index=True)
+    u, v = u[first], v[first]
+    while (part[u] != part[v]).any():
+        np.minimum.at(part, np.maximum(part[u], part[v]), np.minimum(part[u], part[v]))
+        while (part != part[part]).any():
+            part[:] = part[part]
+    return apart[first]

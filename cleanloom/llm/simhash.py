@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import cut, map_batches
-from cleanloom.llm.components import components
+from cleanloom.llm.common import aside, cut, map_batches
+from cleanloom.llm.components import components, join_parts
 
 RADIUS = 4
 SHINGLE = 4
@@ -36,8 +36,9 @@ LOW = 0xFFFFFFFF
 BUCKET, ROWS = 4096, 1 << 16
 #: Fingerprints whose variants one task makes.
 FINGERPRINTS = 20_000
-#: A column of our own beside those of the input.
+#: Columns of our own beside those of the input.
 MARK = "__mark"
+OWN = ("__first_key", "__first_mark", "fp", "component", "component_id", "fingerprint")
 
 
 def fingerprint(text: str | None) -> int:
@@ -86,16 +87,8 @@ def forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, step = np.arange(len(fp)), 1
     while len(at := at[at + step < len(fp)]) and len(at := at[key[at] == key[at + step]]):
         near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= RADIUS]
-        u, v = part[node[near]], part[node[near + step]]
-        _, first = np.unique(np.minimum(u, v) * len(nodes) + np.maximum(u, v), return_index=True)
-        first = first[u[first] != v[first]]
-        if len(first):
-            near, u, v = near[first], u[first], v[first]
-            found.append((fp[near], fp[near + step]))
-            while (part[u] != part[v]).any():
-                np.minimum.at(part, np.maximum(part[u], part[v]), np.minimum(part[u], part[v]))
-                while (part != part[part]).any():
-                    part = part[part]
+        near = near[join_parts(part, node[near], node[near + step])]
+        found.append((fp[near], fp[near + step]))
         step += 1
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
@@ -197,6 +190,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", beside: Seque
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of df for each near-duplicate group, the first by `first_row`; all its columns stay."""
-    named = groups(df.withColumn(MARK, mark(df)), key, text, [MARK])
-    return first_rows(df, named, "component", key)
+    """One row of df for each near-duplicate group, the first by `first_row`; all its columns stay, whatever they are called."""
+    rows, back = aside(df, [n for n in (MARK, *OWN) if n not in (key, text)])
+    named = groups(rows.withColumn(MARK, mark(rows)), key, text, [MARK])
+    return back(first_rows(rows, named, "component", key))

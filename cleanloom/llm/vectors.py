@@ -1,22 +1,29 @@
 """Vectors: exact top-k search by inner product, and near-duplicates by cosine.
 
-Both compare tiles.  Rows are dealt into blocks of about BLOCK rows by a hash of their key, and a task
-gets one block, or a pair of them, as matrices.  What leaves a task is bounded by its rows: the
-best K of a tile, or counts and the links of a spanning forest.
+A search sends a block of at most QUERY_BYTES of queries to all tasks at a time, and each streams its rows
+past it.  Near-duplicates are found in tiles: rows are dealt into blocks of about BLOCK rows by a hash
+of their key, and a task gets one block, or a pair of them, as matrices.  What leaves a task is
+bounded: the best K for each query of the block, or counts and the links of a spanning forest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import cut
-from cleanloom.llm.components import components
+from cleanloom.llm.common import cut, map_batches, new_folder
+from cleanloom.llm.components import components, join_parts
 
 BLOCK = 4096
+#: Bytes of a block of queries, and rows that are scored against it at once.
+QUERY_BYTES, ROWS = 16 << 20, 8192
+#: Numbers of pairs' vectors that are compared in full precision at once.
+WIDE = 1 << 22
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -71,35 +78,72 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     A key that is repeated counts once, with its smallest vector.  Vectors that are null or hold null or
     non-finite components take no part; of vectors that differ in length the missing terms are zero.
     """
-    rows = usable(df, key, vector).select("key", F.transform("v", lambda x: F.floor(x * scale)).alias("w"))
-    rows = rows.withColumn("spread", F.xxhash64("key"))
-    counts = rows.agg(F.count("*"), F.count_if(F.col("key") % every == 0)).first()
-    row_blocks, query_blocks = max(1, -(-counts[0] // BLOCK)), max(1, -(-counts[1] // BLOCK))
-    candidates = rows.withColumn("b", F.pmod("spread", F.lit(row_blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = rows.where(F.col("key") % every == 0).withColumn("q", F.pmod("spread", F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    both = candidates.select("b", "q", "key", "w", F.lit(False).alias("asks")).unionByName(queries.select("b", "q", "key", "w", F.lit(True).alias("asks")))
+    rows = cut(usable(df, key, vector).select("key", F.transform("v", lambda x: F.floor(x * scale)).alias("w")))
+    asking = F.col("key") % every == 0
+    n, asked, width = rows.agg(F.count("*"), F.count_if(asking), F.coalesce(F.max(F.size("w")), F.lit(0))).first()
+    blocks = max(1, -(-asked * max(1, width) * 8 // QUERY_BYTES))
+    spark = df.sparkSession
+    parts = n // BLOCK + 1
+    if parts < 2 * spark.sparkContext.defaultParallelism:  # few rows: a partition must not be a whole task's share of bytes
+        rows = rows.repartition(parts)
+    path = new_folder(spark, "top-k") if blocks > 1 else ""
+    for block in range(blocks):
+        queries = rows.where(asking & (F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)).toArrow()
+        keys = queries["key"].to_numpy()
+        sent = spark.sparkContext.broadcast((keys, matrix(whole(queries["w"]), width)))
+        near = map_batches(rows, searched(sent, width, k), "query_id long, vec_id long, score long")
+        ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        out = ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if blocks == 1:
+            return out
+        out.write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.parquet(path)
+
+
+def matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of integers; missing terms are zero."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
 
-    def tile(table: pa.Table) -> pa.Table:
-        asks, key, lists = table["asks"].to_numpy(), table["key"].to_numpy(), whole(table["w"])
-        sizes = np.diff(lists.offsets.to_numpy())
-        w = np.zeros((len(key), int(sizes.max(initial=0))), np.int64)
-        w[np.arange(w.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-        order = np.argsort(key[~asks], kind="stable")
-        rows, row_keys = w[~asks][order], key[~asks][order]
-        found = []
-        for at in range(0, int(asks.sum()), 128):
-            q, q_keys = w[asks][at : at + 128], key[asks][at : at + 128]
-            s = scores(q, rows)
-            for one, places in zip(range(len(q)), best(s, row_keys, k + 1), strict=True):  # one may be the query's own
-                places = places[row_keys[places] != q_keys[one]]
-                places = places[np.lexsort((row_keys[places], -s[one][places]))][:k]
-                found.append((np.full(len(places), q_keys[one]), row_keys[places], s[one][places]))
-        columns = [np.concatenate(c) if found else np.empty(0, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ()))]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    near = both.groupBy("b", "q").applyInArrow(tile, "query_id long, vec_id long, score long")
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+def searched(sent, width: int, k: int):
+    """The k best rows of a partition for each query that was sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_keys, queries = sent.value
+        held = tuple(np.empty(0, np.int64) for _ in range(3))  # place of the query, key, score
+        fresh: list[pa.RecordBatch] = []
+
+        def scored() -> None:
+            nonlocal held
+            table = pa.Table.from_batches(fresh)
+            fresh.clear()
+            order = np.argsort(table["key"].to_numpy(), kind="stable")
+            keys, rows = table["key"].to_numpy()[order], matrix(whole(table["w"]), width)[order]
+            found = [held]
+            for at in range(0, len(queries), 128):
+                s = scores(queries[at : at + 128], rows)
+                for one, places in enumerate(best(s, keys, k + 1), at):  # one may be the query's own
+                    places = places[keys[places] != query_keys[one]]
+                    found.append((np.full(len(places), one), keys[places], s[one - at][places]))
+            query, key, score = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((key, -score, query))
+            query, key, score = query[order], key[order], score[order]
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            held = query[rank < k], key[rank < k], score[rank < k]
+
+        for b in batches:
+            fresh.append(b)
+            if sum(x.num_rows for x in fresh) >= ROWS:
+                scored()
+        if fresh:
+            scored()
+        yield pa.RecordBatch.from_arrays([pa.array(query_keys[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 # -- near-duplicates by cosine -----------------------------------------------------------------
@@ -113,8 +157,8 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.int8), scale, error * (1 + 1e-9) + 1e-12
 
 
-def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) with cosine(a[i], b[j]) >= least.
+def linked(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) with cosine(a[i], b[j]) >= least, some rows of a at a time.
 
     With x = s p + d, y = t q + e and |x| = |y| = 1: |x.y - s t p.q| <= |d| |y| + |s p| |e| <= |d| + (1 + |d|) |e|.
     Products of codes are sums of at most 2**24 / 127**2 terms that float32 holds exactly; wider vectors
@@ -122,9 +166,9 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     """
     ua, ub = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
     (ca, sa, ea), (cb, sb, eb) = quantised(ua), quantised(ub)
-    hit_i, hit_j = [], []
-    for at in range(0, len(a), 512):
-        c, s, e = ca[at : at + 512], sa[at : at + 512], ea[at : at + 512]
+    some = max(1, WIDE // max(1, a.shape[1]))
+    for at in range(0, len(a), 256):
+        c, s, e = ca[at : at + 256], sa[at : at + 256], ea[at : at + 256]
         dots = sum((c[:, k : k + 1024].astype(np.float32) @ cb[:, k : k + 1024].astype(np.float32).T).astype(np.float64 if c.shape[1] > 1024 else np.float32) for k in range(0, c.shape[1], 1024))
         # least <= x.y  implies  dots >= (least - bound) / (s t), with the largest bound and scale of the tile rounded outwards
         slack = e + (1 + e) * eb.max()
@@ -133,32 +177,11 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.n
         value = dots[i, j].astype(np.float64) * s[i] * sb[j]
         open_ = value + e[i] + (1 + e[i]) * eb[j] >= least - 1e-6
         i, j = i[open_] + at, j[open_]
-        for k in range(0, len(i), 1 << 16):
-            x, y = a[i[k : k + (1 << 16)]], b[j[k : k + (1 << 16)]]
+        for k in range(0, len(i), some):
+            x, y = a[i[k : k + some]], b[j[k : k + some]]
             cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
             sure = cosine >= least
-            hit_i.append(i[k : k + (1 << 16)][sure])
-            hit_j.append(j[k : k + (1 << 16)][sure])
-    return (np.concatenate(hit_i), np.concatenate(hit_j)) if hit_i else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (i, j) between n nodes, so at most n - 1 of them."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = root(x), root(y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
+            yield i[k : k + some][sure], j[k : k + some][sure]
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
@@ -187,16 +210,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         one = table["b1"][0].as_py() == table["b2"][0].as_py()
         left = np.flatnonzero(~right)
         other = left if one else np.flatnonzero(right)
-        i, j = linked(v[left], v[other], least)
-        i, j = left[i], other[j]
-        keep = i < j if one else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
-        links = np.bincount(i, copies[j], len(first)) + np.bincount(j, copies[i], len(first))
+        links, part, tree = np.zeros(len(first), np.int64), np.arange(len(first)), []
+        for i, j in linked(v[left], v[other], least):
+            i, j = left[i], other[j]
+            if one:
+                i, j = i[i < j], j[i < j]
+            links += (np.bincount(i, copies[j], len(first)) + np.bincount(j, copies[i], len(first))).astype(np.int64)
+            needed = join_parts(part, i, j)
+            tree.append(np.stack([i[needed], j[needed]], axis=1))
         some = np.flatnonzero(links)
-        tree = np.array(forest(i, j, len(first)), np.int64).reshape(-1, 2)
+        tree = np.concatenate([np.empty((0, 2), np.int64), *tree])
         nodes = np.concatenate([first[some], first[tree[:, 0]]])
         others = np.concatenate([first[some], first[tree[:, 1]]])
-        n_links = np.concatenate([links[some].astype(np.int64), np.zeros(len(tree), np.int64)])
+        n_links = np.concatenate([links[some], np.zeros(len(tree), np.int64)])
         return pa.table([pa.array(nodes), pa.array(others), pa.array(n_links)], names=["a", "b", "n"])
 
     found = cut(tiles.groupBy("b1", "b2", "width").applyInArrow(tile, "a long, b long, n long"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -245,13 +246,29 @@ def test_error_bounds_are_rigorous():
         a = rnd.normal(size=(80, width))
         b = np.vstack([a + rnd.normal(size=a.shape) * s for s in (0.0, 0.05, 0.32, 0.33, 1)])
         exact = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
-        i, j = vectors.linked(a, b, 0.95)
+        i, j = map(np.concatenate, zip(*vectors.linked(a, b, 0.95), strict=True))
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(exact >= 0.95)), strict=True))
 
 
-@pytest.mark.parametrize("block", [4096, 13])
-def test_top_k(spark, monkeypatch, block):
+def test_a_dense_tile_holds_no_list_of_its_pairs():
+    rnd = np.random.default_rng(5)
+    a = rnd.normal(size=(1, 64)) + 0.01 * rnd.normal(size=(3000, 64))
+    part, n = np.arange(6000), 0
+    tracemalloc.start()
+    for i, j in vectors.linked(a, a, 0.95):
+        n += len(i)
+        components.join_parts(part, i, j + 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 9_000_000 and (part == 0).all()
+    assert peak < 200e6
+
+
+@pytest.mark.parametrize(("block", "size"), [(4096, 16 << 20), (13, 500)])
+def test_top_k(spark, monkeypatch, block, size):
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "ROWS", block)
+    monkeypatch.setattr(vectors, "QUERY_BYTES", size)
     rows = [*enumerate(clusters(7, 200)), (300, [0.5] * 16), (350, [0.5] * 16), (351, [0.5] * 16), (400, [1.0] * 4)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int").repartition(3)
     fit = {i: [math.floor(256 * x) for x in v] for i, v in rows if usable(v)}
