@@ -14,7 +14,8 @@ only the documents which can match them, and each shard meets those in one task:
    automaton over them counts the occurrences of all their subsequences; each region is streamed
    through it, and the windows that end in a state with two occurrences or more are repeated.
 4. An anchor with more than HOT occurrences (a very common passage) would make one shard too large.
-   Its windows are counted one by one, as keys with partial sums before the shuffle.
+   Its windows are counted one by one, as keys with partial sums before the shuffle.  A second Bloom
+   filter names these anchors; one that it names wrongly is counted by windows too, which gives the same.
 """
 
 from __future__ import annotations
@@ -29,13 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import cut, map_batches
+from cleanloom.llm.common import aside, cut, map_batches
 
 WINDOW = 35
 GRAM = 16
-#: Regions of an anchor that one task takes; there are at most HOT_ANCHORS anchors with more.
-HOT = 20_000
-HOT_ANCHORS = 10_000
+#: Regions of an anchor that one task takes, and bits of a filter.
+HOT = 4000
 FILTER_BITS = 1 << 27
 #: Words that are worked on at once.
 BLOCK = 1 << 20
@@ -249,18 +249,17 @@ def spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
     counts = map_batches(source, anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     again = cut(counts.where("n > 1"))
-    total = again.agg(F.sum("n")).first()[0] or 0
-    bar = max(HOT, total // HOT_ANCHORS)
-    hot = np.array([r[0] for r in again.where(F.col("n") > bar).select("anchor").collect()], np.int64)
+    hot = again.where(F.col("n") > HOT)
+    some_hot = not hot.isEmpty()
     context = rows.sparkSession.sparkContext
-    known = context.broadcast((_filter_of(again), np.sort(hot)))
+    known = context.broadcast((_filter_of(again), _filter_of(hot)))
 
     def regions(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
         bloom, hot = known.value
         for b in batches:
             id1, id2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             for found, row, base in blocks(b, window, gram):
-                at = np.flatnonzero(_passes(bloom, found.anchor) & (np.isin(found.anchor, hot) == single))
+                at = np.flatnonzero(_passes(bloom, found.anchor) & (_passes(hot, found.anchor) == single))
                 if single:
                     yield alone(found, at, id1, id2, row, base)
                     continue
@@ -311,9 +310,10 @@ def spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             yield out(group)
 
     found = map_batches(shards, shard, "id1 long, id2 long, start long, mask long")
-    if len(hot):
+    if some_hot:
         single = map_batches(source, lambda it: regions(it, True), f"{fields}, starts array<long>")
-        twice = single.groupBy("anchor", "same").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").drop("n")
+        # kept, so that both sides of the join are shuffled for it and a very common window can be split
+        twice = cut(single.groupBy("anchor", "same").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").drop("n"))
         again_at = single.join(twice, ["anchor", "same"]).select("id1", "id2", F.explode("starts").alias("start"), F.lit(1).cast("long").alias("mask"))
         found = found.unionByName(again_at)
     return found
@@ -375,9 +375,11 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     """df with the repeated passages cut out of its texts; all rows and columns stay.
 
     A text that loses words becomes its kept words joined by one blank, which may be empty; any other
-    stays as it is.
+    stays as it is.  Columns that are called like our own (ID1, ID2, FOUND, CUT) stay too.
     """
 
+    df, back = aside(df, (ID1, ID2, FOUND, CUT))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
@@ -392,4 +394,4 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", window:
 
     rows = removed(df, key, text, window).withColumn(CUT, F.col(text).cast("string"))
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in df.schema)
-    return map_batches(rows.select(*df.columns, CUT, FOUND), run, schema)
+    return back(map_batches(rows.select(*(F.col(f"`{c}`") for c in df.columns), CUT, FOUND), run, schema))

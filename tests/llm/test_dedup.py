@@ -141,6 +141,9 @@ def test_null_and_shared_keys_do_not_lose_texts(spark):
     assert got.columns == df.columns
     want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4]), (8, texts[5])]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    clash = simhash.deduplicate(df.withColumnsRenamed({"source": "__mark"}).withColumn("fp", F.lit(1)).withColumn("component", F.lit("c")))
+    assert clash.columns == ["doc_id", "text", "__mark", "fp", "component"]
+    assert sorted(((r["doc_id"], r["text"]) for r in clash.collect()), key=str) == sorted(want, key=str)
 
 
 # -- repeated passages --------------------------------------------------------------------------
@@ -182,7 +185,6 @@ def passages(seed):
 @pytest.mark.parametrize("block", [1 << 20, 64])
 def test_repeated_passages(spark, monkeypatch, hot, block):
     monkeypatch.setattr(substring, "HOT", hot)
-    monkeypatch.setattr(substring, "HOT_ANCHORS", 10**9)
     monkeypatch.setattr(substring, "BLOCK", block)
     texts = passages(hot + block)
     df = spark.createDataFrame([(i, t, 0, "a") for i, t in enumerate(texts)], "doc_id long, text string, start int, id1 string").repartition(3)
@@ -203,6 +205,10 @@ def test_cutting_keeps_rows_and_columns(spark):
     assert out.columns == df.columns
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a b c", 2: "", 3: "left  alone\n", 4: None}
     assert substring.deduplicate(df.limit(0)).count() == 0
+    clash = df.withColumnsRenamed({"found": "__repeated"}).withColumn("__row_1", F.lit(7)).withColumn("__text", F.lit("t"))
+    again = substring.deduplicate(clash)
+    assert again.columns == clash.columns
+    assert {(r["doc_id"], r["text"], r["__repeated"], r["__row_1"], r["__text"]) for r in again.collect()} == {(r["doc_id"], r["text"], r["found"], 7, "t") for r in out.collect()}
 
 
 # -- vectors ------------------------------------------------------------------------------------
