@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.llm import labelled
-from cleanloom.llm.common import map_batches
+from cleanloom.llm.common import aside, map_batches
 
 SPACE = 1 << 18
 #: Labelled rows that are learned from, at most, and passes over few rows.
@@ -27,6 +27,7 @@ TRAIN_ROWS = 12_000
 STEPS = 48_000
 MOST_PASSES = 30
 THRESHOLD = 0.3
+MADE = ("quality_score", "quality_predicted")
 #: Words that are worked on at once.
 BLOCK = 1 << 18
 #: Follow-the-regularised-leader: learning rate, its smoothing, and the weights of |w| and w**2 / 2.
@@ -161,9 +162,11 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
     """docs' rows and columns, with quality_score (0 to 1) and quality_predicted (1 from the threshold on).
 
     A null or empty text has no n-grams and gets the constant's score.  Repeated rows are scored each.
+    Columns of these two names are replaced; `keep` leaves them alone.
     """
+    rows, back = aside(docs.drop(*MADE), ["__text"])
     model = docs.sparkSession.sparkContext.broadcast(weights)  # SPACE + 1 numbers, whatever the input
-    names = docs.columns
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
@@ -173,10 +176,10 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
                 of, gram, value = ngrams(words, text) if words else (np.empty(0, np.int64),) * 3
                 out.append(np.bincount(of, w[gram] * value, len(numbers)) + w[SPACE])
             s = 1 / (1 + np.exp(-np.clip(np.concatenate(out) if out else np.empty(0), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "quality_score", "quality_predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *MADE])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double, quality_predicted int"
-    return map_batches(docs.select("*", F.col(text).cast("string").alias("__text")), run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", quality_score double, quality_predicted int"
+    return back(map_batches(rows.select("*", F.col(text).cast("string").alias("__text")), run, schema))
 
 
 def evaluate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -187,5 +190,6 @@ def evaluate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose score is under the threshold."""
-    return score(docs, train(docs, labels), threshold=threshold).where("quality_predicted = 1").drop("quality_score", "quality_predicted")
+    """docs without the rows whose score is under the threshold; all columns stay, whatever they are called."""
+    rows, back = aside(docs, MADE)
+    return back(score(rows, train(docs, labels), threshold=threshold).where("quality_predicted = 1").drop(*MADE))

@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Five small transducers read a clause's words from left to right: insult, threat, target, negation and
-reported speech.  Their states compose: an insult or threat that a negation governs, or that a speaker
-is reported to have said, leaves the clause in another final state than a plain one, and one that is
-aimed at a target in another again.  The final state and the weights of the words taken give the
-clause's weight; a text's score is a logistic function of what its clauses weigh by final state.
-
-The insult transducer's words and stems, with their weights, are learned from labels, beside a short
-general list.  Clauses without an insult or threat end in the empty state, so only clauses around
-the words that an Aho-Corasick automaton finds are read, each as a whole however long it is.
+A clause is a tape of symbols, one for each word: the set of roles that the word can have.  Five
+transducers read it, each marking the symbols that it says something of: reported speech, negation,
+threat and target from left to right, and target again from right to left, for a target that comes
+after the insult.  `compose` makes one transducer of a chain, state by state as texts ask for them, and
+the last one in the chain gives each insult or threat its final state: negated, reported, threat,
+aimed at a target, or plain insult.  A clause weighs what its insults and threats weigh by final state,
+and a text's score is a logistic function of what its clauses weigh.
+
+The insult patterns (words and stems), their weights, how much evidence in each final state counts and
+the logistic function are learned from labels, beside a short general list.  Clauses without an insult
+or threat end in the empty state, so only clauses around the words that an Aho-Corasick automaton finds
+are read, each as a whole however long it is.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Hashable, Iterator
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.llm import labelled
-from cleanloom.llm.common import map_batches
+from cleanloom.llm.common import aside, cut, map_batches
 
 # General words of the transducers, in the four languages of the corpus.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()
@@ -45,6 +48,17 @@ CANDIDATES, PATTERNS = 600, 80
 #: Words that a negation governs, and how far a target may be from an insult.
 SCOPE, AIM = 3, 6
 THRESHOLD = 0.5
+MADE = ("toxic_score", "toxic_predicted")
+
+#: Roles of a word, and the marks that transducers add, as bits of a symbol.
+INSULT, HARMS, INTENDS, TARGET, NEGATES, SPEAKS, REPORTED, NEGATED, THREAT, AIMED = (1 << i for i in range(10))
+#: Final states, with how much evidence there counts beside a plain insult before labels have a say, and as how
+#: many texts that counts.
+STATES = {"insult": 1.0, "aimed": 1.25, "threat": 1.0, "reported": 0.5, "negated": 0.25}
+WEAK = ("reported", "negated")
+PRIOR = 20
+#: What a threat weighs, as a pattern does.
+THREAT_WEIGHT = 2.0
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 EDGE = re.compile(r"[.!?;:\n]")
@@ -55,12 +69,81 @@ def stems(word: str) -> list[str]:
     return [word + " ", *(word[:n] for n in range(SHORTEST, min(LONGEST, len(word) - 1) + 1))]
 
 
-class Grammar:
-    """Patterns (stems, or words marked by a blank, to weights) and the weights of the final states."""
+class Transducer:
+    """start and step: (state, symbol) to (state, symbol).  Arcs are kept once they were asked for."""
+
+    def __init__(self, start: Hashable, step: Callable[[Hashable, int], tuple[Hashable, int | str]]):
+        self.start, self.step = start, step
+        self.arcs: dict[tuple[Hashable, int], tuple[Hashable, int | str]] = {}
+
+    def read(self, tape: list[int]) -> list:
+        state, out, arcs = self.start, [], self.arcs
+        for symbol in tape:
+            arc = arcs.get((state, symbol))
+            if arc is None:
+                arc = arcs[state, symbol] = self.step(state, symbol)
+            state = arc[0]
+            out.append(arc[1])
+        return out
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that reads what first reads and writes what second makes of it; a state is a pair of theirs."""
+
+    def step(state, symbol):
+        a, between = first.step(state[0], symbol)
+        b, out = second.step(state[1], between)
+        return (a, b), out
+
+    return Transducer((first.start, second.start), step)
+
+
+def within(trigger: int, reach: int, mark: int, needs: int = 0) -> Transducer:
+    """Marks the symbols (those with a role of `needs`, if given) from a trigger on to `reach` words after it."""
+
+    def step(left, symbol):
+        left = reach + 1 if symbol & trigger else max(left - 1, 0)
+        return left, symbol | mark if left and (not needs or symbol & needs) else symbol
+
+    return Transducer(0, step)
+
+
+def ever(trigger: int, mark: int) -> Transducer:
+    """Marks the symbols from a trigger on to the end."""
+
+    def step(seen, symbol):
+        seen = bool(seen or symbol & trigger)
+        return seen, symbol | mark if seen else symbol
+
+    return Transducer(False, step)
 
-    def __init__(self, patterns: dict[str, float], states: list[float] | None = None):
-        self.patterns, self.states = patterns, states
-        self.harm, self.sets = set(HARM), [set(x) for x in (INTENT, TARGETS, NEGATIONS, SPEECH)]
+
+def final() -> Transducer:
+    """From marked symbols to final states; the empty text for words that are neither insult nor threat."""
+
+    def step(state, symbol):
+        if not symbol & (INSULT | THREAT):
+            return state, ""
+        for mark, name in ((NEGATED, "negated"), (REPORTED, "reported"), (THREAT, "threat"), (AIMED, "aimed")):
+            if symbol & mark:
+                return state, name
+        return state, "insult"
+
+    return Transducer(0, step)
+
+
+class Grammar:
+    """Patterns (stems, or words marked by a blank, to weights), what final states count, and the logistic weights."""
+
+    def __init__(self, patterns: dict[str, float], states: list[float] | None = None, counts: dict[str, float] | None = None):
+        self.patterns, self.states, self.counts = patterns, states, counts or STATES
+        self.harm = set(HARM)
+        self.roles: dict[str, int] = defaultdict(int)
+        for role, words in ((HARMS, HARM), (INTENDS, INTENT), (TARGET, TARGETS), (NEGATES, NEGATIONS), (SPEAKS, SPEECH)):
+            for w in words:
+                self.roles[w] |= role
+        self.backwards = within(TARGET, AIM, AIMED)
+        self.forwards = reduce(compose, [ever(SPEAKS, REPORTED), within(NEGATES, SCOPE, NEGATED), within(INTENDS, SCOPE, THREAT, HARMS), within(TARGET, AIM, AIMED), final()])
         self.heads = ahocorasick.Automaton()
         for p in {x.strip() for x in patterns} | self.harm:
             self.heads.add_word(p, len(p))
@@ -86,42 +169,17 @@ class Grammar:
 
     def clause(self, words: list[str]) -> dict[str, float]:
         """The composed transducers over a clause: weight by final state."""
-        intent, targets, negations, speech = self.sets
+        weights = [self.weight(w) for w in words]
+        tape = [self.roles.get(w, 0) | (INSULT if x else 0) for w, x in zip(words, weights, strict=True)]
+        tape = self.backwards.read(tape[::-1])[::-1]
         out: dict[str, float] = defaultdict(float)
-        negated, reported, intended, aimed = -SCOPE - 1, False, -AIM - 1, -AIM - 1
-        pending: list[tuple[int, float]] = []  # plain insults whose target may still come
-        for i, word in enumerate(words):
-            reported = reported or word in speech
-            if word in negations:
-                negated = i
-            if word in intent:
-                intended = i
-            if word in targets:
-                aimed = i
-                for at, w in pending:
-                    if i - at <= AIM:
-                        out["insult"] -= w
-                        out["aimed"] += w
-                pending.clear()
-            threat = word in self.harm and i - intended <= SCOPE
-            w = 2.0 if threat else self.weight(word)
-            if not w:
-                continue
-            if i - negated <= SCOPE:
-                out["negated"] += w
-            elif reported:
-                out["reported"] += w
-            elif threat:
-                out["threat"] += w
-            elif i - aimed <= AIM:
-                out["aimed"] += w
-            else:
-                out["insult"] += w
-                pending.append((i, w))
+        for word, weight, state in zip(words, weights, self.forwards.read(tape), strict=True):
+            if state:
+                out[state] += THREAT_WEIGHT if state == "threat" or not weight else weight
         return out
 
-    def features(self, text: str | None) -> list[float]:
-        """What the clauses of a text weigh by final state, on a logarithmic scale, and in all by its length."""
+    def weighed(self, text: str | None) -> dict[str, float]:
+        """What the clauses of a text weigh by final state."""
         low = (text or "").lower()
         total: dict[str, float] = defaultdict(float)
         done = -1
@@ -133,10 +191,16 @@ class Grammar:
             done = edge.start() if edge else len(low)
             for state, w in self.clause(WORD.findall(low, begin, done)).items():
                 total[state] += w
-        # states whose evidence is rare in labels share the logarithm of the plain ones, at a fixed discount
-        plain = total["insult"] + 1.25 * total["aimed"] + total["threat"]
-        weak = 0.5 * total["reported"] + 0.25 * total["negated"]
-        return [math.log1p(max(0.0, plain)), math.log1p(max(0.0, plain + weak)), float(plain + weak > 0), 1000 * (plain + weak) / (1000 + len(low))]
+        return total
+
+    def measured(self, total: dict[str, float], size: int) -> list[float]:
+        """Features: weights on a logarithmic scale without and with weak states, whether there are any, and by the text's length."""
+        plain = sum(self.counts[s] * w for s, w in total.items() if s not in WEAK)
+        weak = sum(self.counts[s] * w for s, w in total.items() if s in WEAK)
+        return [math.log1p(plain), math.log1p(plain + weak), float(plain + weak > 0), 1000 * (plain + weak) / (1000 + size)]
+
+    def features(self, text: str | None) -> list[float]:
+        return self.measured(self.weighed(text), len(text or ""))
 
     def score(self, text: str | None) -> float:
         x = self.states[0] + sum(a * b for a, b in zip(self.states[1:], self.features(text), strict=True))
@@ -189,6 +253,20 @@ def choose(rows: list[tuple[int, dict[str, int]]]) -> dict[str, float]:
     return out
 
 
+def counted_for(found: list[tuple[int, dict[str, float]]]) -> dict[str, float]:
+    """What evidence in each final state counts: its share of toxic texts beside that of plain insults.
+
+    Most labels hold few clauses of a kind, so STATES counts as PRIOR texts more.
+    """
+    texts = {s: [y for y, total in found if total.get(s)] for s in STATES}
+    plain = (sum(texts["insult"]) + 1) / (len(texts["insult"]) + 2)
+    out = {}
+    for s, before in STATES.items():
+        share = (sum(texts[s]) + PRIOR * min(1.0, before * plain)) / (len(texts[s]) + PRIOR)
+        out[s] = share / plain if before < 1 else max(before, share / plain)
+    return out | {"insult": 1.0}
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
     """The constant and weights of a logistic regression, by Newton steps."""
     x = np.hstack([np.ones((len(x), 1)), x])
@@ -228,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 zero = pa.array(np.zeros(len(part), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([p for (p, _), _ in part]), pa.array([k for (_, k), _ in part], pa.int32()), *((zero, n) if y else (n, zero))], names=["p", "k", "neg", "pos"])
 
-    some = labelled.sample(docs, labels, label, rows)
+    some = cut(labelled.sample(docs, labels, label, rows))  # read four times
     totals = some.groupBy().agg(F.count_if(F.col("label") != 0), F.count_if(F.col("label") == 0)).first()
     n_pos, n_neg = totals[0], totals[1]
     patterns: dict[str, float] = {}
@@ -271,35 +349,42 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _grammar(items)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([own.features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["label", "x"])
+            texts = b.column(1).to_pylist()
+            totals = [own.weighed(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array([[x.get(s, 0.0) for s in STATES] for x in totals], pa.list_(pa.float64()))], names=["label", "size", "x"])
 
-    measured_rows = map_batches(some, measured, "label int, x array<double>").collect()
-    x = np.array([r["x"] for r in measured_rows])
-    y = np.array([1.0 if r["label"] else 0.0 for r in measured_rows])
-    return Grammar(grammar.patterns, logistic(x, y))
+    rows_ = map_batches(some, measured, "label int, size long, x array<double>").collect()
+    y = [1 if r["label"] else 0 for r in rows_]
+    totals_ = [{s: w for s, w in zip(STATES, r["x"], strict=True) if w} for r in rows_]
+    grammar = Grammar(grammar.patterns, None, counted_for(list(zip(y, totals_, strict=True))))
+    x = np.array([grammar.measured(t, r["size"]) for t, r in zip(totals_, rows_, strict=True)])
+    grammar.states = logistic(x, np.array(y, np.float64))
+    return grammar
 
 
 @lru_cache(maxsize=8)
-def _grammar(items: tuple, states: tuple = ()) -> Grammar:
-    return Grammar(dict(items), list(states) or None)
+def _grammar(items: tuple, states: tuple = (), counts: tuple = ()) -> Grammar:
+    return Grammar(dict(items), list(states) or None, dict(counts) or None)
 
 
 def score(docs: DataFrame, grammar: Grammar, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs' rows and columns, with toxic_score (0 to 1) and toxic_predicted (1 from the threshold on).
 
     Null and empty texts have no clauses and get the score of a text without any match.  Repeated rows
-    are scored each.
+    are scored each.  Columns of these two names are replaced; `keep` leaves them alone.
     """
-    items, states, names = tuple(grammar.patterns.items()), tuple(grammar.states), docs.columns
+    docs = docs.drop(*MADE)
+    rows, back = aside(docs, ["__text"])
+    items, states, counts, names = tuple(grammar.patterns.items()), tuple(grammar.states), tuple(grammar.counts.items()), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _grammar(items, states)
+        own = _grammar(items, states, counts)
         for b in batches:
             s = np.array([own.score(t) for t in b.column(len(names)).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "toxic_score", "toxic_predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *MADE])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_score double, toxic_predicted int"
-    return map_batches(docs.select("*", F.col(text).cast("string").alias("__text")), run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", toxic_score double, toxic_predicted int"
+    return back(map_batches(rows.select("*", F.col(text).cast("string").alias("__text")), run, schema))
 
 
 def evaluate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -309,5 +394,6 @@ def evaluate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score as toxic."""
-    return score(docs, train(docs, labels), threshold=threshold).where("toxic_predicted = 0").drop("toxic_score", "toxic_predicted")
+    """docs without the rows that score as toxic; all columns stay, whatever they are called."""
+    rows, back = aside(docs, MADE)
+    return back(score(rows, train(docs, labels), threshold=threshold).where("toxic_predicted = 0").drop(*MADE))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -65,6 +66,16 @@ def test_filters_keep_columns(made, module):
     assert 0.7 * docs.count() < out.count() < docs.count()
 
 
+@pytest.mark.parametrize(("module", "kind"), [(toxicity, "toxic"), (quality, "quality")])
+def test_columns_called_like_the_score_stay(made, module, kind):
+    docs, labels = made
+    clash = docs.select("doc_id", "text", F.lit("a").alias(f"{kind}_score"), F.col("label").alias(f"{kind}_predicted"), F.lit(3).alias("__text"))
+    out = module.keep(clash, labels)
+    assert out.columns == clash.columns
+    assert {tuple(r)[2:] for r in out.collect()} <= {("a", 1, 3), ("a", None, 3), ("a", 0, 3)}
+    assert out.count() == module.keep(docs, labels).count()
+
+
 def test_held_out_rows_are_not_learned_from(made):
     docs, labels = made
     lying = labels.withColumn("toxic", F.when(labelled.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -101,6 +112,109 @@ def test_clauses_compose():
     assert states("a threat of rain") == {}
 
 
+def plain_states(words, patterns):
+    """What the grammar says, word by word from its definition and without automata."""
+    out = {}
+    near = lambda i, some, back, ahead=0: any(0 <= k < len(words) and words[k] in some for k in range(i - back, i + ahead + 1))
+    for i, word in enumerate(words):
+        fits = [p for p in patterns if p == word + " " or p[-1] != " " and 3 <= len(p) <= 8 and word.startswith(p)]
+        weight = patterns[max(fits, key=lambda p: (p == word + " ", len(p)))] if fits else 0
+        threat = word in toxicity.HARM and near(i, toxicity.INTENT, toxicity.SCOPE)
+        if not weight and not threat:
+            continue
+        if near(i, toxicity.NEGATIONS, toxicity.SCOPE):
+            state = "negated"
+        elif near(i, toxicity.SPEECH, i):
+            state = "reported"
+        elif threat:
+            state = "threat"
+        else:
+            state = "aimed" if near(i, toxicity.TARGETS, toxicity.AIM, toxicity.AIM) else "insult"
+        out[state] = out.get(state, 0) + (2.0 if state == "threat" or not weight else weight)
+    return out
+
+
+def test_composed_clauses_are_as_defined():
+    rnd, patterns = random.Random(21), {"idiot ": 2.0, "zorq": 1.0, "zorqua": 0.5, "stab ": 3.0}
+    grammar = toxicity.Grammar(patterns)
+    words = "idiot zorq zorquas stab kill hurt will said told not never you them a b c d e f g".split()
+    for _ in range(3000):
+        clause = [rnd.choice(words) if rnd.random() < 0.5 else rnd.choice("abcdefg") for _ in range(rnd.randint(0, 25))]
+        assert {k: v for k, v in grammar.clause(clause).items() if v} == pytest.approx(plain_states(clause, patterns)), clause
+
+
+def test_scores_are_as_defined(spark, made):
+    """The query's score against sentences cut and weighed plainly with the grammar that was learned."""
+    docs, labels = made
+    grammar = toxicity.train(docs, labels)
+    assert set(grammar.counts) == set(toxicity.STATES) and grammar.counts["insult"] == 1
+    for r in toxicity.score(docs.select("doc_id", "text"), grammar).where("length(text) < 1000 or text is null").collect():
+        low, total = (r["text"] or "").lower(), {}
+        for clause in re.split(r"[.!?;:\n]", low):
+            for state, w in plain_states(toxicity.WORD.findall(clause), grammar.patterns).items():
+                total[state] = total.get(state, 0) + grammar.counts[state] * w
+        weak = total.get("reported", 0) + total.get("negated", 0)
+        plain = sum(total.values()) - weak
+        x = [1.0, math.log1p(plain), math.log1p(plain + weak), float(plain + weak > 0), 1000 * (plain + weak) / (1000 + len(low))]
+        assert r["toxic_score"] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, grammar.states, strict=True)))), rel=1e-9)
+
+
+def test_ftrl_is_as_defined(monkeypatch):
+    """The vector steps against the published update, one weight at a time."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "SPACE", 12)
+    rnd = random.Random(22)
+    rows = []
+    for _ in range(40):
+        grams = sorted(rnd.sample(range(12), 4)) + [12]
+        rows.append((np.array(grams), np.array([rnd.random() for _ in range(4)] + [1.0]), int(3 in grams)))
+    passes = min(quality.MOST_PASSES, max(1, round(quality.STEPS / len(rows))))
+    z, n = [0.0] * 13, [0.0] * 13
+    weight = lambda i: 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    for _ in range(passes):
+        for grams, values, y in rows:
+            w = [weight(i) for i in grams]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, values, strict=True))))
+            for i, wi, v in zip(grams, w, values, strict=True):
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - sigma * wi
+                n[i] += g * g
+    assert quality.ftrl(rows) == pytest.approx([weight(i) for i in range(13)], rel=1e-6, abs=1e-9)
+
+
+def test_ngrams_are_as_defined():
+    import numpy as np
+    import xxhash
+
+    words = "a b a b a c a b a".split()
+    of, grams, values = quality.ngrams([w.encode() for w in words], np.zeros(len(words), np.int64))
+    got = {}
+    for g, v in zip(grams.tolist(), values.tolist(), strict=True):
+        got[g] = got.get(g, 0) + v
+    top = (1 << 64) - 1
+
+    def slot(x, kind):
+        x = (x + kind * 0x9E3779B97F4A7C15) & top
+        for _ in range(2):
+            x = ((x ^ x >> 32) if _ else x) * 0xD6E8FEB86659FD93 & top
+        return (x ^ x >> 32) >> 40 & quality.SPACE - 1
+
+    word = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    for w in "abc":
+        assert got[slot(xxhash.xxh3_64_intdigest(w.encode()), 1)] == pytest.approx(words.count(w) / len(words))
+    pairs = [(a * 0x9FB21C651E98DF25 & top) ^ b for a, b in zip(word, word[1:], strict=False)]
+    for p in set(pairs):
+        assert got[slot(p, 2)] == pytest.approx(pairs.count(p) / len(pairs))
+    seen, repeats = set(), 0
+    for t in zip(words, words[1:], words[2:], strict=False):
+        repeats += t in seen
+        seen.add(t)
+    assert got[slot(1, 6)] == pytest.approx(repeats / (len(words) - 2))
+    assert sum(values) == pytest.approx(6)
+
+
 def test_only_whole_words_and_beginnings_match():
     grammar = toxicity.Grammar({"idiot ": 2.0, "zorq": 1.0})
     assert grammar.features("idiotic and xzorq, an antiidiot") == [0.0, 0.0, 0.0, 0.0]
