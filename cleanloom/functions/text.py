@@ -102,20 +102,13 @@ def clipped(c: Column, n: int = 60) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
 
 
+#: A word in a name: capitals that no small letter follows, or letters and digits from a capital on.
+NAME_WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z][A-Z0-9]*")
+
+
 def snake(name: str) -> str:
     """customerId, Customer-ID and ' customer id ' are customer_id; a name without letters or digits is col."""
-    words = re.findall(r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", str(name)))
-    joined: list[str] = []
-    at = 0
-    text = str(name)
-    for w in words:  # parts that touch without a change of case belong together
-        begin = text.index(w, at)
-        if joined and begin == at and not (text[begin].isupper() and (text[begin - 1].islower() or text[begin - 1].isdigit() or w[1:2].islower())):
-            joined[-1] += w.lower()
-        else:
-            joined.append(w.lower())
-        at = begin + len(w)
-    return "_".join(joined) or "col"
+    return "_".join(NAME_WORD.findall(str(name))).lower() or "col"
 
 
 def is_snake(name: str) -> bool:

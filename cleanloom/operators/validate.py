@@ -7,7 +7,7 @@ count as values.
 
 from __future__ import annotations
 
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def new_null(c: str, text: Column) -> Column:
     return t.column(A + c).isNull() & text.isNotNull() & ~t.is_null_token(text)
 
 
-def counts(both: DataFrame, plan: Plan) -> DataFrame:
+def counts(both: DataFrame, plan: Plan, years: tuple[int, int] = YEARS) -> DataFrame:
     """One row: n, and for each column the new nulls, changed cells, odd dates and up to LOST lost values."""
     columns = [c.removeprefix(B) for c in both.columns if c.startswith(B) and A + c.removeprefix(B) in both.columns]
     out = [F.count("*").alias("n")]
@@ -58,7 +58,7 @@ def counts(both: DataFrame, plan: Plan) -> DataFrame:
             lost = new_null(c, was)
             out += [F.count_if(lost).alias(f"lost{i}"), _few(F.when(lost, t.clipped(was))).alias(f"examples{i}")]
         if isinstance(both.schema[A + c].dataType, KINDS["datetime"]):
-            out.append(F.avg(F.when(t.column(A + c).isNotNull(), (~F.year(t.column(A + c)).between(*YEARS)).cast("double"))).alias(f"odd{i}"))
+            out.append(F.avg(F.when(t.column(A + c).isNotNull(), (~F.year(t.column(A + c)).between(*years)).cast("double"))).alias(f"odd{i}"))
     return both.agg(*out)
 
 
@@ -67,48 +67,74 @@ def _few(c: Column) -> Column:
     return F.transform(F.approx_top_k(c, F.lit(LOST)), lambda x: x["item"]) if hasattr(F, "approx_top_k") else F.slice(F.collect_set(c), 1, LOST)
 
 
+class Cell(NamedTuple):
+    """What the result row says of one column."""
+
+    name: str
+    touched: bool
+    actions: tuple[str, ...]
+    kind: T.DataType
+    rows: int
+    changed: int
+    lost: int
+    examples: list[str]
+    odd: float
+
+    @property
+    def share(self) -> float:
+        return self.lost / self.rows if self.rows else 0.0
+
+
+def cells(both: DataFrame, plan: Plan) -> list[Cell]:
+    """The one row of `counts`, by column."""
+    row = counts(both, plan).first().asDict()
+    out = []
+    for i, c in enumerate(c.removeprefix(B) for c in both.columns if c.startswith(B) and A + c.removeprefix(B) in both.columns):
+        actions = tuple(s.action for s in plan.ordered() if s.column == c)
+        examples = [x for x in row.get(f"examples{i}") or () if x is not None]
+        out.append(Cell(c, c in plan.touched(), actions, both.schema[A + c].dataType, row["n"], row[f"changed{i}"], row.get(f"lost{i}", 0), examples, row.get(f"odd{i}") or 0.0))
+    return out
+
+
+def untouched_changed(x: Cell, _: float) -> list[dict]:
+    return [{"message": f"{x.name} is not in the plan but {x.changed} of its values changed"}] if x.changed and not x.touched else []
+
+
+def new_nulls(x: Cell, most: float) -> list[dict]:
+    if not x.touched or x.share <= most:
+        return []
+    return [{"message": f"{x.name}: {x.share:.1%} of the values became null (at most {most:.0%} may), such as {x.examples}", "ratio": round(x.share, 4), "actions": list(x.actions), "examples": x.examples}]
+
+
+def dtype(x: Cell, _: float) -> list[dict]:
+    wrong = [a for a in x.actions if a in EXPECTED and not isinstance(x.kind, KINDS[EXPECTED[a]])]
+    return [{"message": f"{x.name}: {a} should give a {EXPECTED[a]} column, not {x.kind.simpleString()}", "actions": [a]} for a in wrong]
+
+
+#: Each names its check; all are asked of every column.
+RULES = (untouched_changed, new_nulls, dtype)
+ODD_DATES = 0.01
+
+
+def shape(df: DataFrame, after: DataFrame, plan: Plan) -> tuple[list[dict], list[str]]:
+    """(problems, warnings) of another output's rows and columns."""
+    names, n, m = plan.renames(), df.count(), after.count()
+    wanted = [names.get(c, c) for c in df.columns]
+    gone, more = [c for c in wanted if c not in after.columns], [c for c in after.columns if c not in wanted]
+    found = ((n != m, "row_count", f"there were {n} rows and there are {m}; a plan drops none"), (bool(gone), "columns", f"columns are missing: {gone}"))
+    return [{"column": None, "check": check, "message": message} for there, check, message in found if there], [f"columns were added: {more}"] * bool(more)
+
+
 def check(df: DataFrame, plan: Plan, most: float = 0.02, after: DataFrame | None = None, key: str | None = None) -> dict[str, Any]:
-    """{passed, problems, warnings, columns} of a bound plan over df, or of an output `after` that has the key."""
-    names = plan.renames()
-    problems: list[dict[str, Any]] = []
-    warnings: list[str] = []
-
-    def problem(column: str | None, check: str, message: str, **more: Any) -> None:
-        problems.append({"column": column, "check": check, "message": message, **more})
-
-    if after is None:
-        both = side_by_side(df, plan)
-    else:
-        n, m = df.count(), after.count()
-        if n != m:
-            problem(None, "row_count", f"there were {n} rows and there are {m}; a plan drops none")
-            return {"passed": False, "problems": problems, "warnings": warnings, "columns": {}}
-        gone = [names.get(c, c) for c in df.columns if names.get(c, c) not in after.columns]
-        if gone:
-            problem(None, "columns", f"columns are missing: {gone}")
-        more = [c for c in after.columns if c not in {names.get(x, x) for x in df.columns}]
-        if more:
-            warnings.append(f"columns were added: {more}")
-        both = joined(df, after, plan, key)
-    columns = [c for c in df.columns if A + c in both.columns]
-    row = counts(both, plan).first()
-    n, stats = row["n"], {}
-    for i, c in enumerate(columns):
-        actions = [s.action for s in plan.ordered() if s.column == c]
-        kind = both.schema[A + c].dataType
-        if c not in plan.touched():
-            if row[f"changed{i}"]:
-                problem(c, "untouched_changed", f"{c} is not in the plan but {row[f'changed{i}']} of its values changed")
-            continue
-        share = row[f"lost{i}"] / n if n else 0.0
-        stats[c] = {"new_null_ratio": round(share, 4), "changed_cells": row[f"changed{i}"], "dtype_after": kind.simpleString()}
-        if share > most:
-            lost = [x for x in row[f"examples{i}"] or () if x is not None]
-            problem(c, "new_nulls", f"{c}: {share:.1%} of the values became null (at most {most:.0%} may), such as {lost}", ratio=round(share, 4), actions=actions, examples=lost)
-        for action in actions:
-            want = EXPECTED.get(action)
-            if want and not isinstance(kind, KINDS[want]):
-                problem(c, "dtype", f"{c}: {action} should give a {want} column, not {kind.simpleString()}", actions=[action])
-        if f"odd{i}" in row and (row[f"odd{i}"] or 0) > 0.01:
-            warnings.append(f"{c}: {row[f'odd{i}']:.1%} of the dates are not in {YEARS[0]} to {YEARS[1]}")
+    """{passed, problems, warnings, columns} of a bound plan over df, or of an output `after` that has the key.
+
+    An output with another number of rows is not compared further.
+    """
+    problems, warnings = shape(df, after, plan) if after is not None else ([], [])
+    found: list[Cell] = []
+    if not any(p["check"] == "row_count" for p in problems):
+        found = cells(side_by_side(df, plan) if after is None else joined(df, after, plan, key), plan)
+    problems += [{"column": x.name, "check": rule.__name__, **p} for x in found for rule in RULES for p in rule(x, most)]
+    warnings += [f"{x.name}: {x.odd:.1%} of the dates are not in {YEARS[0]} to {YEARS[1]}" for x in found if x.touched and x.odd > ODD_DATES]
+    stats = {x.name: {"new_null_ratio": round(x.share, 4), "changed_cells": x.changed, "dtype_after": x.kind.simpleString()} for x in found if x.touched}
     return {"passed": not problems, "problems": problems, "warnings": warnings, "columns": stats}

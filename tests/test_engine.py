@@ -84,6 +84,8 @@ PROGRAMS = [
     "def transform(df):\n    return df.__class__", "def transform(df):\n    return getattr(df, 'x')", "def transform(df):\n    while True:\n        pass", "def transform(df):\n    return (lambda x: x)(df)",
     "class A:\n    pass", "def other(df):\n    return df", "def transform(df, x):\n    return df", "def transform(df):\n    return pd.read_parquet('x')", "def transform(df):\n    return np.load('x')",
     "def transform(df):\n    return df.query('a')", "def transform(df):\n    try:\n        return df\n    except Exception:\n        pass", "def transform(df):\n    return df['__x']", "x = 1", "def transform(df)", "async def transform(df):\n    return df",
+    "def transform(df):\n    return pd.read_fwf('x')", "def transform(df):\n    return pd.read_table('x')", "def transform(df):\n    return df.to_string('x')", "def transform(df):\n    return df.to_markdown('x')",
+    "def transform(df):\n    return np.genfromtxt('x')", "def transform(df):\n    np.savez('x', df)\n    return df", "def transform(df):\n    return df.eval('a')", "def transform(df):\n    return df.pipe(print)", "def transform(df):\n    with df:\n        return df",
     "def transform(df):\n    return secret", "@wr\ndef transform(df):\n    return df", "def transform(df):\n    global x\n    return df", "def transform(df):\n    return [].append(globals())", "#" * 30_000,
 ]
 
