@@ -21,6 +21,8 @@ from cleanloom.plans.planner import RulePlanner
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEXT = ["price", "ordered", "priority", "urgent", "custKey"]
+#: The columns of a later delivery: one is gone, one is new, one is typed otherwise, one has more nulls.
+LATER = {"price": "price", "ordered": "id", "priority": "CASE WHEN id % 2 = 0 THEN priority END", "urgent": "urgent", "status": "status"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +131,6 @@ def summary(*columns: str) -> Query:
     return run
 
 
-VALUES = "v AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM dirty" for c in TEXT) + "))"
 TYPE = f"""CASE WHEN value IS NULL THEN 'null' WHEN lower({trim('value')}) IN {NULLS} THEN 'null_token'
   WHEN regexp_full_match({trim('value')}, '[+-]?[0-9]+') THEN CASE WHEN length({trim('value')}) > 1 AND regexp_matches({trim('value')}, '^[+-]*0') THEN 'str' ELSE 'int' END
   WHEN regexp_full_match({trim('value')}, '[+-]?([0-9]+\\.[0-9]*|\\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?') THEN 'float'
@@ -140,7 +141,46 @@ TYPE = f"""CASE WHEN value IS NULL THEN 'null' WHEN lower({trim('value')}) IN {N
   WHEN lower({trim('value')}) IN ('true', 'false', 'yes', 'no', 'y', 'n', 't', 'f') THEN 'bool'
   WHEN regexp_full_match({trim('value')}, '(?i)([$€£₹]|usd|eur|inr)?\\s*[+-]?([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)(\\.[0-9]+)?\\s*(%|[a-z]{{1,6}}\\.?)?') THEN 'numeric_text'
   ELSE 'str' END"""
-TYPED = f"{DIRTY}, {VALUES}, c AS (SELECT \"column\", value, count(*) AS n, {TYPE} AS type FROM v GROUP BY ALL)"
+
+
+def typed(columns: dict[str, str], at: str = "") -> str:
+    """v: the values of columns (by expression), c: each with its count and type."""
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", ({x})::VARCHAR AS value FROM dirty" for c, x in columns.items())
+    return f'v{at} AS ({parts}), c{at} AS (SELECT "column", value, count(*) AS n, {TYPE} AS type FROM v{at} GROUP BY ALL)'
+
+
+def facts(at: str = "") -> str:
+    """p: what `profiled` gives, and more that the rules ask for, from c."""
+    return f"""z{at} AS (SELECT "column", bool_and(ltrim({trim('value')}, '+') IN ('0', '1')) FILTER (type = 'int') AND count(*) FILTER (type = 'bool') > 0 AS ones FROM c{at} GROUP BY 1),
+    g{at} AS (SELECT "column", CASE WHEN type = 'int' AND ones THEN 'bool' WHEN type IN ('int', 'float', 'numeric_text') THEN 'number' WHEN type LIKE 'date%' THEN 'date' ELSE type END AS family, type, n
+      FROM c{at} JOIN z{at} USING ("column") WHERE type NOT IN ('null', 'null_token')),
+    f{at} AS (SELECT "column", family, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY "column") AS present FROM g{at} GROUP BY 1, 2),
+    b{at} AS (SELECT "column", arg_min(family, (-n, family)) AS family, max(n) / any_value(present) AS share, any_value(present) AS present FROM f{at} GROUP BY 1),
+    r{at} AS (SELECT "column", list(value ORDER BY n DESC, value)[1:8] AS top FROM c{at} WHERE value IS NOT NULL GROUP BY 1),
+    m{at} AS (SELECT "column", sum(n) AS n, round(sum(n) FILTER (type IN ('null', 'null_token')) / sum(n), 4) AS null_ratio, count(value) AS "distinct", count(DISTINCT lower({trim('value')})) AS folded, count(DISTINCT {trim('value')}) AS stripped,
+      count(*) FILTER (type = 'null_token') AS tokens, sum(n) FILTER (value <> {trim('value')} AND {trim('value')} <> '') AS padded, list_sort(list(DISTINCT type) FILTER (type LIKE 'date%')) AS forms,
+      count(*) FILTER (type IN ('numeric_text', 'str')) AS strays FROM c{at} GROUP BY 1),
+    p{at} AS (SELECT "column", coalesce(family, 'null') AS family, coalesce(null_ratio, 0.0) AS null_ratio, "distinct", top, folded, stripped, tokens, padded, forms, strays, share, present FROM m{at} LEFT JOIN b{at} USING ("column") LEFT JOIN r{at} USING ("column"))"""
+
+
+TYPED = f"{DIRTY}, {typed({c: c for c in TEXT})}"
+PROFILED = f"{TYPED}, {facts()}"
+DRIFT = f"""WITH {PROFILED}, {typed(LATER, "2")}, {facts("2")},
+j AS (SELECT coalesce(a."column", b."column") AS "column", a."column" IS NOT NULL AS was, b."column" IS NOT NULL AS is_, a.family AS f1, b.family AS f2, a.null_ratio AS n1, b.null_ratio AS n2, a."distinct" AS d1,
+  list_sort(list_filter(b.top, lambda x: NOT list_contains(a.top, x))) AS fresh FROM p a FULL JOIN p2 b ON a."column" = b."column")
+SELECT "column", 'new_column' AS kind, true AS structural, NULL::VARCHAR AS detail FROM j WHERE NOT was
+UNION ALL SELECT "column", 'dropped_column', true, NULL FROM j WHERE NOT is_
+UNION ALL SELECT "column", 'type_change', true, '{{"from":"' || f1 || '","to":"' || f2 || '"}}' FROM j WHERE was AND is_ AND f1 <> f2
+UNION ALL SELECT "column", 'null_jump', false, '{{"from":' || n1 || ',"to":' || n2 || '}}' FROM j WHERE n2 - n1 > 0.2
+UNION ALL SELECT "column", 'new_categories', false, '{{"values":["' || replace(array_to_string(fresh[1:5], '","'), chr(9), '\\t') || '"]}}' FROM j WHERE was AND is_ AND f1 = 'str' AND d1 <= 20 AND len(fresh) > 0"""
+ISSUES = f"""{PROFILED}, i AS (
+  SELECT "column", 'null_tokens' AS issue, 'standardize_nulls' AS action, 'error' AS severity FROM p WHERE tokens > 0
+  UNION ALL SELECT "column", 'whitespace', 'strip', 'error' FROM p JOIN m USING ("column") WHERE round(m.padded / m.n, 4) > 0
+  UNION ALL SELECT "column", CASE WHEN strays > 0 THEN 'mixed_types' ELSE 'numeric_as_text' END, 'cast_numeric', 'error' FROM p WHERE family = 'number' AND share >= 0.8
+  UNION ALL SELECT "column", CASE WHEN len(forms) > 1 THEN 'date_formats' ELSE 'date_as_text' END, 'parse_dates', 'error' FROM p WHERE family = 'date' AND share >= 0.8
+  UNION ALL SELECT "column", 'bool_as_text', 'to_bool', 'error' FROM p WHERE family = 'bool' AND share >= 0.8
+  UNION ALL SELECT "column", 'inconsistent_categories', 'canonicalize', 'error' FROM p WHERE family = 'str' AND share >= 0.8 AND folded <= 50 AND folded < stripped AND folded < 0.5 * present
+  UNION ALL SELECT "column", 'naming', 'rename', 'warning' FROM p WHERE NOT regexp_full_match("column", '[a-z0-9]+(_[a-z0-9]+)*'))"""
 
 
 def before_and_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Plan]:
@@ -158,9 +198,10 @@ def val_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def val_odd_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both, _ = before_and_after(spark, sf_dir)
-    year = F.year(t.column("after ordered"))
-    return both.agg(F.count_if(~year.between(1990, 1995)).alias("odd"), F.count(t.column("after ordered")).alias("dates"))
+    """The share of dates outside 1993 to 1996, as validation counts it."""
+    both, plan = before_and_after(spark, sf_dir)
+    columns = [c.removeprefix(validate.B) for c in both.columns if c.startswith(validate.B)]
+    return validate.counts(both, plan, (1993, 1996)).select(F.round(f"odd{columns.index('ordered')}", 6).alias("odd"), "n")
 
 
 def dayfirst_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,25 +212,38 @@ def canonical_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.spellings(dirty(spark, sf_dir), F.col("priority"))
 
 
-def families(v: DataFrame) -> DataFrame:
-    """(column, family, null_ratio): the family most values belong to, by share and then by name."""
-    by = v.where("type not in ('null', 'null_token')").groupBy("column", prof.family(F.col("type")).alias("family")).agg(F.sum("n").alias("k"))
-    first = by.groupBy("column").agg(F.min(F.struct((-F.col("k")).alias("k"), "family")).getField("family").alias("family"))
-    nulls = v.groupBy("column").agg((F.sum(F.when(F.col("type").isin("null", "null_token"), F.col("n")).otherwise(0)) / F.sum("n")).alias("null_ratio"))
-    return nulls.join(first, "column", "left")
+def profiled(v: DataFrame) -> DataFrame:
+    """(column, family, null_ratio, distinct, top): what drift and signatures need of a profile."""
+    tops = prof.ranked(v.where("value is not null"), prof.TOP, "tops").select("column", F.transform("tops", lambda x: x["value"]).alias("top"))
+    return prof.facts(v).select("column", F.col("dominant_family").alias("family"), "null_ratio", "distinct").join(tops, "column", "left")
+
+
+def prof_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiled(texts(spark, sf_dir)).withColumn("top", F.array_join("top", "|"))
+
+
+def prof_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent written nulls of each column."""
+    v = texts(spark, sf_dir).where("type = 'null_token'")
+    return prof.ranked(v, prof.TOKENS, "x").select("column", F.explode("x").alias("x")).select("column", "x.*")
+
+
+def prof_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of each value type of each column."""
+    v = texts(spark, sf_dir).where("value is not null")
+    return prof.ranked(v, prof.EXAMPLES, "x", ("type",)).select("column", F.explode("x").alias("x")).select("column", "x.*")
 
 
 def drift_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw table against one where a column is gone, one is new, one is typed otherwise and one has more nulls."""
-    now = dirty(spark, sf_dir).selectExpr("price", "cast(id AS string) AS ordered", "CASE WHEN id % 2 = 0 THEN priority END AS priority", "urgent", "status")
-    return drift.signals(families(texts(spark, sf_dir)), families(prof.values(now)))
+    now = dirty(spark, sf_dir).selectExpr(*(f"cast({x} AS string) AS {c}" for c, x in LATER.items()))
+    return drift.signals(profiled(texts(spark, sf_dir)), profiled(prof.values(now)))
 
 
 def schema_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = families(texts(spark, sf_dir))
+    rows = profiled(texts(spark, sf_dir))
     names = {c: t.snake(c) for c in TEXT}
     named = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("column")]
-    return rows.select(F.concat(named, F.lit(":"), F.coalesce("family", F.lit("null"))).alias("part")).agg(F.array_join(F.array_sort(F.collect_list("part")), ",").alias("signature")).select("signature", F.substring(F.sha2("signature", 256), 1, 16).alias("fingerprint"))
+    return rows.select(F.concat(named, F.lit(":"), "family").alias("part")).agg(F.array_join(F.array_sort(F.collect_list("part")), ",").alias("signature")).select("signature", F.substring(F.sha2("signature", 256), 1, 16).alias("fingerprint"))
 
 
 def shaped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,18 +256,23 @@ def shaped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_schema_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docschema.histogram(shaped_events(spark, sf_dir), "doc", depth=4)
+    return docschema.histogram(shaped_events(spark, sf_dir), "doc")
 
 
 def doc_shape_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docschema.conflicts(docschema.histogram(shaped_events(spark, sf_dir), "doc", depth=4))
+    return docschema.conflicts(docschema.histogram(shaped_events(spark, sf_dir), "doc"))
 
 
-EVENTS = """e AS (SELECT event_id % 4 AS m, count(*) AS n FROM events GROUP BY 1), t AS (SELECT sum(n) AS total FROM e),
-h AS (SELECT path, type, sum(n)::BIGINT AS n FROM e JOIN (VALUES
-  (0, 'id', 'int', 1), (0, 'type', 'str', 1), (0, 'at', 'object', 1), (0, 'at.city', 'str', 1), (0, 'at.zip', 'int', 1),
-  (1, 'id', 'int', 1), (1, 'at', 'str', 1), (1, 'tags', 'array', 1), (1, 'tags[].n', 'int', 1), (1, 'tags[].n', 'str', 1),
-  (2, 'id', 'str', 1), (2, 'at', 'null', 1), (2, 'tags', 'str', 1), (3, 'k', 'int', 1)) s(m, path, type, one) USING (m) GROUP BY ALL)"""
+EVENTS = """d AS (SELECT CASE event_id % 4 WHEN 0 THEN '{"id": ' || event_id || ', "type": "' || event_type || '", "at": {"city": "x", "zip": 1}}'
+    WHEN 1 THEN '{"id": ' || event_id || ', "at": "nowhere", "tags": [{"n": 1}, {"n": "two"}]}'
+    WHEN 2 THEN '{"id": "' || event_id || '", "at": null, "tags": "none"}' ELSE props END AS doc FROM events),
+s(path, v, field) AS (SELECT '', doc::JSON, false FROM d WHERE json_valid(doc) AND json_type(doc) = 'OBJECT'
+  UNION ALL SELECT x.path, x.v, x.field FROM (SELECT unnest(CASE json_type(v)
+    WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'path': CASE path WHEN '' THEN k ELSE path || '.' || k END, 'v': json_extract(v, '$."' || k || '"'), 'field': true})
+    WHEN 'ARRAY' THEN list_transform(list_filter((v::JSON[])[1:3], lambda e: json_type(e) = 'OBJECT'), lambda e: {'path': path || '[]', 'v': e, 'field': false}) END) AS x FROM s)),
+t AS (SELECT count(*) AS total FROM d),
+h AS (SELECT path, CASE json_type(v) WHEN 'VARCHAR' THEN 'str' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END AS type,
+      count(*) AS n FROM s WHERE field AND path <> '_id' GROUP BY ALL)"""
 
 
 def score_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,19 +310,35 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, s.column, s.action, s.strategy) for i, s in enumerate(plan.ordered())], "place int, column string, action string, strategy int")
 
 
+#: Source columns, with the column of orders that holds their values, and a target schema's.
+SOURCE = {"orderKey": "o_orderkey", "client_id": "o_custkey", "order_dates": "o_orderdate", "total": "o_totalprice", "zz": "o_orderstatus"}
+WANTED = ["order_key", "customer_id", "order_date", "total"]
+
+
 def match_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw columns against a target schema: the same name, a normalised name, a synonym, a near name."""
-    source = {c: [r[0] for r in table(spark, sf_dir, "orders").select(F.col(c).cast("string")).limit(3).collect()] for c in ("o_orderkey", "o_custkey", "o_orderdate")}
-    renamed = {"orderKey": source["o_orderkey"], "client_id": source["o_custkey"], "order_dates": source["o_orderdate"], "total": []}
-    found, left = matching.match(renamed, {"order_key": [], "customer_id": [], "order_date": [], "total": []})
+    shown = prof.profile(table(spark, sf_dir, "orders").select(*(F.col(x).cast("string").alias(c) for c, x in SOURCE.items())))
+    found, left = matching.match({c: [x for xs in shown[c]["examples"].values() for x in xs] for c in SOURCE}, {c: [] for c in WANTED})
     return spark.createDataFrame([(m.source, m.target, m.level) for m in found] + [(c, None, "none") for c in left], "source string, target string, level string")
 
 
+SYNONYMS = ", ".join(f"('{name}', {k})" for k, group in enumerate(matching.SYNONYMS) for name in group)
+MATCHED = f"""WITH s AS (SELECT unnest({list(SOURCE)}) AS s), t AS (SELECT unnest({WANTED}) AS t), y(name, k) AS (VALUES {SYNONYMS}),
+p AS (SELECT s, t, lower(regexp_replace(s, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS n FROM s, t),
+l AS (SELECT s, t, CASE WHEN s = t THEN 1 WHEN n = t THEN 2 WHEN EXISTS (SELECT 1 FROM y a JOIN y b USING (k) WHERE a.name = n AND b.name = t) THEN 3
+  WHEN 100 * (length(n) + length(t) - levenshtein(n, t)) / (length(n) + length(t)) >= 88 THEN 4 ELSE 9 END AS level FROM p),
+b AS (SELECT s, min(level) AS level, arg_min(t, level) AS t FROM l GROUP BY 1)
+SELECT s AS source, CASE WHEN level < 9 THEN t END AS target, CASE level WHEN 1 THEN 'exact' WHEN 2 THEN 'normalized' WHEN 3 THEN 'synonym' WHEN 4 THEN 'fuzzy' ELSE 'none' END AS level FROM b"""
+
+
+#: Schemas to compare with.
+OTHERS = {"same": ["price:number", "ordered:date", "priority:str", "urgent:bool", "custKey:number"], "typed": ["price:number", "ordered:str", "priority:str"], "other": ["x:str"]}
+
+
 def schema_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike the raw table's schema is to each of three others: shared columns with families, shared names."""
-    rows = families(texts(spark, sf_dir)).select(F.concat("column", F.lit(":"), F.coalesce("family", F.lit("null"))).alias("part"))
-    own = rows.agg(F.collect_set("part").alias("a"))
-    others = spark.createDataFrame([("same", ["price:number", "ordered:date", "priority:str", "urgent:bool", "custKey:number"]), ("typed", ["price:number", "ordered:str", "priority:str"]), ("other", ["x:str"])], "name string, b array<string>")
+    own = profiled(texts(spark, sf_dir)).select(F.concat("column", F.lit(":"), "family").alias("part")).agg(F.collect_set("part").alias("a"))
+    others = spark.createDataFrame(list(OTHERS.items()), "name string, b array<string>")
     names = lambda c: F.array_distinct(F.transform(c, lambda x: F.split(x, ":")[0]))
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     return others.join(F.broadcast(own)).select("name", F.round(0.7 * share(F.col("a"), F.col("b")) + 0.3 * share(names(F.col("a")), names(F.col("b"))), 4).alias("similarity"))
@@ -275,10 +350,10 @@ def flatten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated messy tables of all domains, planned and repaired by the rules: cells by column."""
-    out = None
+    """Generated messy tables of all domains, in all as many rows as orders, planned and repaired by the rules: cells by column."""
+    out, rows = None, -(-table(spark, sf_dir, "orders").count() // len(datagen.DOMAINS))
     for seed, domain in enumerate(datagen.DOMAINS):
-        messy = datagen.corrupt(datagen.generate(spark, domain, 2000, seed), domain, seed)
+        messy = datagen.corrupt(datagen.generate(spark, domain, rows, seed), domain, seed)
         raw = messy.dirty.drop("_rid")
         p = prof.profile(raw)
         plan = RulePlanner().plan(p, issues.detect(p), raw).plan
@@ -325,26 +400,30 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         UNION ALL SELECT 'priority', n, (SELECT count(*) FROM b WHERE q2 IS DISTINCT FROM priority), (SELECT count(*) FROM b WHERE q2 IS NULL) FROM n
         UNION ALL SELECT 'urgent', n, n, (SELECT count(*) FROM b WHERE u2 IS NULL AND urgent <> 'n/a') FROM n""",
     ),
-    "val_odd_dates": (val_odd_dates, f"WITH {DIRTY}, a AS ({CLEAN}) SELECT count(*) FILTER (year(ordered) NOT BETWEEN 1990 AND 1995) AS odd, count(ordered) AS dates FROM a"),
+    "val_odd_dates": (val_odd_dates, f"WITH {DIRTY}, a AS ({CLEAN}) SELECT round(avg((year(ordered) NOT BETWEEN 1993 AND 1996)::DOUBLE), 6) AS odd, count(*) AS n FROM a"),
     "dayfirst_evidence": (dayfirst_evidence, f"WITH {DIRTY}, p AS (SELECT status, try_cast(string_split(ordered, '/')[1] AS INTEGER) AS a, try_cast(string_split(ordered, '/')[2] AS INTEGER) AS b FROM dirty WHERE ordered LIKE '%/%/%') SELECT status, coalesce(bool_or(a > 12) AND NOT bool_or(b > 12), false) AS dayfirst FROM dirty LEFT JOIN p USING (status) GROUP BY 1"),
     "canonical_spellings": (canonical_spellings, f"WITH {DIRTY}, s AS (SELECT {trim('priority')} AS v, count(*) AS n FROM dirty GROUP BY 1) SELECT lower(v) AS key, arg_min(v, (-n, v)) AS spelling FROM s GROUP BY 1"),
-    "drift_signals": (drift_signals, "SELECT * FROM (VALUES ('custKey', 'dropped_column', true), ('status', 'new_column', true), ('ordered', 'type_change', true), ('priority', 'null_jump', false)) AS r(\"column\", kind, structural)"),
-    "schema_signature": (schema_signature, f"WITH {TYPED}, f AS (SELECT \"column\", CASE WHEN type IN ('int', 'float', 'numeric_text') THEN 'number' WHEN type LIKE 'date%' THEN 'date' ELSE type END AS family, sum(n) AS n FROM c WHERE type NOT IN ('null', 'null_token') GROUP BY ALL), b AS (SELECT \"column\", arg_min(family, (-n, family)) AS family FROM f GROUP BY 1), s AS (SELECT string_agg(part, ',' ORDER BY part) AS signature FROM (SELECT (CASE \"column\" WHEN 'custKey' THEN 'cust_key' ELSE \"column\" END) || ':' || family AS part FROM b)) SELECT signature, sha256(signature)[1:16] AS fingerprint FROM s"),
-    "doc_schema_hist": (doc_schema_hist, f"WITH {EVENTS} SELECT path, type, n, round(sum(n) OVER (PARTITION BY path) / total, 4) AS presence FROM h, t"),
-    "doc_shape_conflicts": (doc_shape_conflicts, f"WITH {EVENTS}, k AS (SELECT * FROM h WHERE type <> 'null') SELECT path, type AS shape FROM k WHERE type IN ('object', 'array') AND path IN (SELECT path FROM k GROUP BY 1 HAVING count(DISTINCT type) > 1)"),
-    "issues_list": (
-        issues_list,
-        """SELECT * FROM (VALUES ('price', 'null_tokens', 'standardize_nulls', 'error'), ('price', 'whitespace', 'strip', 'error'), ('ordered', 'date_formats', 'parse_dates', 'error'),
-        ('priority', 'whitespace', 'strip', 'error'), ('priority', 'inconsistent_categories', 'canonicalize', 'error'), ('urgent', 'null_tokens', 'standardize_nulls', 'error'), ('urgent', 'whitespace', 'strip', 'error'), ('urgent', 'bool_as_text', 'to_bool', 'error'),
-        ('custKey', 'numeric_as_text', 'cast_numeric', 'error'), ('custKey', 'naming', 'rename', 'warning')) AS r("column", issue, action, severity)""",
-    ),
+    "prof_facts": (prof_facts, f"WITH {PROFILED} SELECT \"column\", family, null_ratio, \"distinct\", array_to_string(top, '|') AS top FROM p"),
+    "prof_tokens": (prof_tokens, f"WITH {TYPED} SELECT * FROM (SELECT \"column\", row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value)::INTEGER AS rank, value, n FROM c WHERE type = 'null_token') WHERE rank <= 5"),
+    "prof_examples": (prof_examples, f"WITH {TYPED} SELECT * FROM (SELECT \"column\", type, row_number() OVER (PARTITION BY \"column\", type ORDER BY n DESC, value)::INTEGER AS rank, value, n FROM c WHERE value IS NOT NULL) WHERE rank <= 3"),
+    "drift_signals": (drift_signals, DRIFT),
+    "schema_signature": (schema_signature, f"WITH {PROFILED}, s AS (SELECT string_agg(part, ',' ORDER BY part) AS signature FROM (SELECT (CASE \"column\" WHEN 'custKey' THEN 'cust_key' ELSE \"column\" END) || ':' || family AS part FROM p)) SELECT signature, sha256(signature)[1:16] AS fingerprint FROM s"),
+    "doc_schema_hist": (doc_schema_hist, f"WITH RECURSIVE {EVENTS} SELECT path, type, n, round(sum(n) OVER (PARTITION BY path) / total, 4) AS presence FROM h, t"),
+    "doc_shape_conflicts": (doc_shape_conflicts, f"WITH RECURSIVE {EVENTS}, k AS (SELECT * FROM h WHERE type <> 'null') SELECT path, type AS shape FROM k WHERE type IN ('object', 'array') AND path IN (SELECT path FROM k GROUP BY 1 HAVING count(DISTINCT type) > 1)"),
+    "issues_list": (issues_list, f"WITH {ISSUES} SELECT * FROM i"),
     "plan_steps": (
         plan_steps,
-        """SELECT * FROM (VALUES (0, 'price', 'standardize_nulls', 0), (1, 'urgent', 'standardize_nulls', 0), (2, 'price', 'strip', 0), (3, 'priority', 'strip', 0), (4, 'urgent', 'strip', 0), (5, 'priority', 'canonicalize', 0), (6, 'custKey', 'cast_numeric', 0),
-        (7, 'ordered', 'parse_dates', 1), (8, 'urgent', 'to_bool', 0), (9, 'custKey', 'rename', 0)) AS r(place, "column", action, strategy)""",
+        f"""WITH {ISSUES}, o(action, o) AS (VALUES ('standardize_nulls', 0), ('strip', 1), ('canonicalize', 2), ('cast_numeric', 3), ('parse_dates', 3), ('to_bool', 3), ('rename', 9))
+        SELECT (row_number() OVER (ORDER BY o, "column") - 1)::INTEGER AS place, "column", action,
+          CASE WHEN action = 'cast_numeric' AND strays > 0 OR action = 'parse_dates' AND forms NOT IN (['date:iso'], ['datetime:iso']) THEN 1 ELSE 0 END AS strategy FROM i JOIN o USING (action) JOIN p USING ("column")""",
+    ),
+    "match_columns": (match_columns, MATCHED),
+    "schema_similarity": (
+        schema_similarity,
+        f"""WITH {PROFILED}, o AS (SELECT unnest([{", ".join(f"{{'name': '{k}', 'b': {v}}}" for k, v in OTHERS.items())}], recursive := true)),
+        a AS (SELECT list("column" || ':' || family) AS a FROM p), x AS (SELECT name, a, b, list_distinct(list_transform(a, lambda s: string_split(s, ':')[1])) AS an, list_distinct(list_transform(b, lambda s: string_split(s, ':')[1])) AS bn FROM o, a)
+        SELECT name, round(0.7 * len(list_intersect(a, b)) / len(list_distinct(a || b)) + 0.3 * len(list_intersect(an, bn)) / len(list_distinct(an || bn)), 4) AS similarity FROM x""",
     ),
-    "match_columns": (match_columns, "SELECT * FROM (VALUES ('total', 'total', 'exact'), ('orderKey', 'order_key', 'normalized'), ('client_id', 'customer_id', 'synonym'), ('order_dates', 'order_date', 'fuzzy')) AS r(source, target, level)"),
-    "schema_similarity": (schema_similarity, "SELECT * FROM (VALUES ('same', 1.0::DOUBLE), ('typed', round(0.7 * 2 / 6 + 0.3 * 3 / 5, 4)::DOUBLE), ('other', 0.0::DOUBLE)) AS r(name, similarity)"),
     "flatten_documents": (flatten_documents, 'SELECT o_orderkey AS id, o_orderstatus AS "o.status", o_totalprice AS "o.price.total" FROM orders'),
     "repair_scores": (repair_scores, None),
     "score_repair": (
