@@ -33,6 +33,8 @@ LAYOUT = {
     "parquet.enable.dictionary#start": "false",
     "compression": "zstd",
 }
+#: Characters of a text that split rows of one doc_id.
+TIE = 64
 #: Ids in a batch that goes back to Spark.
 OUT_IDS = 1 << 20
 
@@ -72,7 +74,8 @@ def write(df: DataFrame, path: str, end_id: int, tokenizer: str | None = None) -
                 start += n
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # rows of one doc_id may be many, so the start of the text, which sorts as the text does, splits them too
+    ranged = rows.repartitionByRange(F.asc_nulls_first("doc_id"), F.substring("text", 1, TIE)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     made = map_batches(ranged, run, "doc_id long, ids array<int>, n_tokens int, shard int, start long")
     made.write.options(**LAYOUT).parquet(path)
 

@@ -241,6 +241,13 @@ def test_near_duplicates_by_cosine(spark, monkeypatch, block):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_repeated_key_has_its_smallest_vector(spark):
+    rows = [(50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (None, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r[0]: tuple(r)[1:] for r in vectors.near_duplicates(df).collect()} == {50: (1, 1, False), 1: (1, 1, True), 2: (0, 2, True)}
+    assert [tuple(r) for r in vectors.top_k(df).orderBy("rank").collect()] == [(50, 1, 1, 2 * 256 * 256), (50, 2, 2, 0)]
+
+
 def test_vectors_of_other_lengths_do_not_link(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0, 0.0]), (4, [])], "vec_id long, embedding array<float>")
     assert {r[0]: tuple(r)[1:] for r in vectors.near_duplicates(df).collect()} == {1: (1, 1, True), 2: (0, 2, True), 3: (1, 1, False), 4: (0, 4, True)}

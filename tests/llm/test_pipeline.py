@@ -74,6 +74,25 @@ def test_stages(spark, corpus):
     assert sorted(map(tuple, corpus_pipeline.run(spark, corpus).select("doc_id", "piece", "length", "ids_crc32").collect()), key=str) == sorted(((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows), key=str)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_rows(spark, corpus, name):
+    """Null keys and texts, repeated rows, columns of any name, a table without n_chars and an empty one."""
+    stage, long = dict(corpus_pipeline.STAGES)[name], " ".join(rnd_words(70))
+    rows = [(None, None, "a"), (None, long, "b"), (1, "", "c"), (1, "", "c"), (2, long, "d"), (3, "calm words " * 3000, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("__text", F.lit(1)).withColumn("quality_score", F.lit("q")).withColumn("component", F.lit(2))
+    out = stage(spark, docs, corpus)
+    if name != "packing":
+        assert out.columns == docs.columns
+    got = out.collect()
+    assert 0 < len(got) <= (len(rows) if name != "packing" else 20)
+    assert stage(spark, docs.limit(0), corpus).count() == 0
+
+
+def rnd_words(n):
+    rnd = random.Random(6)
+    return [rnd.choice(WORDS) + str(rnd.randrange(30)) for _ in range(n)]
+
+
 def test_the_stages_are_the_dealt_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "repeats", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None

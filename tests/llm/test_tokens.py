@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,6 +129,35 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenfiles.digests(spark, empty).count() == 0
 
 
+def test_token_files_have_their_layout(docs, tmp_path):
+    """Ids by dictionary, counters by deltas, and an index of each column's pages."""
+    path = tmp_path / "files"
+    tokenfiles.write(docs.coalesce(1), str(path), end_id=2)
+    files = [pq.ParquetFile(f) for f in sorted(path.glob("*.parquet"))]
+    seen = defaultdict(set)
+    for f in files:
+        for g in range(f.metadata.num_row_groups):
+            for c in range(f.metadata.num_columns):
+                column = f.metadata.row_group(g).column(c)
+                seen[column.path_in_schema.split(".")[0]].update(column.encodings)
+                assert column.has_offset_index and column.has_column_index
+    assert "RLE_DICTIONARY" in seen["ids"] or "PLAIN_DICTIONARY" in seen["ids"]
+    assert all("DELTA_BINARY_PACKED" in seen[c] for c in ("doc_id", "n_tokens", "start"))
+
+
+def test_rows_of_one_key_may_lie_in_several_files(spark, tmp_path):
+    texts = [f"{c}{i} some words" for c in "abcdefgh" for i in range(50)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, t) for t in texts], "doc_id long, text string")
+    path = str(tmp_path / "files")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be one file
+    tokenfiles.write(df, path, end_id=2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tokenfiles.read(spark, path).where("doc_id = 1").select("shard").distinct().count() > 1
+    got = sorted(tokenfiles.digests(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * len(texts) + [1] * len(texts)
+    assert [r["ids_crc32"] for r in got] == 2 * [zlib.crc32(np.array([*library(t), 2], "<u4").tobytes()) for t in sorted(texts)]
+
+
 def check_packing(rows, texts, room):
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -207,6 +237,16 @@ def test_token_counts_by_section(docs, none, rule):
     assert attribution.count_tokens(none).count() == 0
 
 
+def test_token_counts_of_null_keys_repeats_and_borders(spark):
+    df = spark.createDataFrame([(None, "a\nb"), (1, "x\n\n\ny"), (1, "x\n\n\ny"), (2, None)], "doc_id long, text string")
+    rows = attribution.count_tokens(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["section"]) for r in rows) == sorted([(True, 0, 0), (True, 0, 1), (False, 2, 0)] + 2 * [(False, 1, i) for i in range(4)])
+    offsets = LIBRARY.encode("x\n\n\ny", add_special_tokens=False).offsets
+    over = sum(1 for a, b in offsets if len({0 if i < 2 else i - 1 for i in range(a, b)}) > 1)
+    assert over and sum(r["n_shared"] for r in rows if r["doc_id"] == 1) == 2 * over
+    assert sum(r["n_tokens"] for r in rows if r["doc_id"] == 1) == 2 * len(offsets)
+
+
 def test_token_counts_by_field(spark):
     df = spark.createDataFrame([(1, "a title", "the body\nof it", None), (2, None, "", "x")], "doc_id long, title string, body string, foot string")
     rows = attribution.count_tokens(df, fields=("title", "body", "foot")).collect()
