@@ -5,6 +5,10 @@ return documents' columns; the last returns the pieces of the packed sequences.
 stage's rows as Parquet in the shared folder and reads them again as the next one's docs, so a lost
 executor costs no more than its tasks of one stage.  A classifier learns from the labels of
 the documents that reach its stage.
+
+Null keys and texts, repeated rows and columns of any name pass as the operators say: a null text is an
+empty one, repeated rows are documents of their own until near-duplicates are dropped, and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,8 +39,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat; n_chars follows the text."""
+    """All documents, without the passages that repeat; n_chars follows the text where it is there."""
     out = substring.deduplicate(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
