@@ -113,7 +113,8 @@ def _sql_step(step: Step, c: str) -> str:
         return f"CASE lower({trim}) {cases} ELSE {trim} END" if cases else trim
     if step.action == "cast_numeric":
         if step.strategy <= 0:
-            n = f"CASE WHEN {trim} RLIKE {literal(t.DECIMAL)} THEN try_cast({trim} AS DOUBLE) END"
+            special = "|".join((t.PLUS_INFINITY, t.MINUS_INFINITY))
+            n = f"CASE WHEN {trim} RLIKE {literal(f'{t.DECIMAL}|(?i){special}')} THEN try_cast({trim} AS DOUBLE) END"
         else:
             found = f"try_cast(replace(nullif(regexp_extract({trim}, {literal(t.NUMBER_IN_TEXT)}, 1), ''), ',', '') AS DOUBLE)"
             n = f"CASE WHEN {trim} RLIKE {literal('(?s)^\\(.*\\)$')} THEN -abs({found}) ELSE {found} END"

@@ -16,6 +16,7 @@ class Source:
     uri: str = ""
     database: str | None = None
     staging_uri: str | None = None
+    split_by: str | None = None  # of a table behind JDBC: the numeric column that its reads are split by
 
     @property
     def id(self) -> str:
@@ -23,7 +24,10 @@ class Source:
 
 
 def parse(spec: str) -> Source:
-    """A path by its ending, table:<name>, <jdbc url>::<table>, or mongodb://...::<database>.<collection>."""
+    """A path by its ending, table:<name>, <jdbc url>::<table>, or mongodb://...::<database>.<collection>.
+
+    A table behind JDBC may end in #<column>, a numeric one that splits its rows over tasks.
+    """
     text = spec.strip()
     if text.startswith("table:") and text[6:]:
         return Source("table", text[6:])
@@ -35,7 +39,8 @@ def parse(spec: str) -> Source:
                 raise ValueError(f"{spec!r} should end in <database>.<collection>")
             return Source("mongo", collection, uri, database)
         if uri and name:
-            return Source("sql", name, uri)
+            name, _, split = name.partition("#")
+            return Source("sql", name, uri, split_by=split or None)
     stem, ending = os.path.splitext(text.rstrip("/"))
     if ending.lower() in FILES and stem:
         return Source(FILES[ending.lower()], os.path.basename(stem), text)

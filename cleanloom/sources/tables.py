@@ -15,6 +15,8 @@ from cleanloom.operators.profile import rendered
 from cleanloom.sources.spec import Source, redacted
 
 SEED = 7
+#: Tasks of a JDBC read.
+SPLITS = 64
 
 
 @dataclass
@@ -30,10 +32,31 @@ def _check_name(spark: SparkSession, name: str) -> None:
         raise ValueError(f"there is no table {name!r}")
 
 
+def _runs_on(spark: SparkSession, path: str) -> bool:
+    """Whether some record of a delimited file goes over several lines: a line then has an odd number of quotes.
+
+    Only such files must be read whole by one task each; this look at the lines is itself split.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _split(spark: SparkSession, source: Source) -> dict[str, str]:
+    """What splits a JDBC read over tasks by ranges of a column; null keys go with the first range."""
+    if not source.split_by:
+        return {}
+    column = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(source.uri).quoteIdentifier(source.split_by)
+    bounds = f"(SELECT min({column}) AS a, max({column}) AS b FROM {source.name}) bounds"
+    a, b = spark.read.format("jdbc").option("url", source.uri).option("dbtable", bounds).load().first()
+    if a is None:
+        return {}
+    return {"partitionColumn": source.split_by, "lowerBound": str(int(a)), "upperBound": str(int(b) + 1), "numPartitions": str(min(SPLITS, int(b) - int(a) + 1))}
+
+
 def load(spark: SparkSession, source: Source) -> DataFrame:
     """The whole source, lazily, without inference: raw files are text, documents become columns a.b."""
     if source.kind == "csv":
-        return spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").csv(source.uri)
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", _runs_on(spark, source.uri)).option("mode", "PERMISSIVE").csv(source.uri)
     if source.kind in ("parquet", "orc"):
         return spark.read.format(source.kind).load(source.uri)
     if source.kind == "json":
@@ -42,7 +65,7 @@ def load(spark: SparkSession, source: Source) -> DataFrame:
         _check_name(spark, source.name)
         return spark.table(source.name)
     if source.kind == "sql":
-        return spark.read.format("jdbc").option("url", source.uri).option("dbtable", source.name).load()
+        return spark.read.format("jdbc").options(**_split(spark, source)).option("url", source.uri).option("dbtable", source.name).load()
     if source.kind == "mongo":
         return docschema.flattened(spark.read.format("mongodb").option("connection.uri", source.uri).option("database", source.database).option("collection", source.name).load())
     raise ValueError(f"no reader for {source.kind!r}")

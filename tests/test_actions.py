@@ -107,6 +107,18 @@ def test_a_plan_and_its_sql_agree(spark):
     assert out.orderBy("id").collect()[0] == ("1", 42, 1200.5, dt.datetime(2026, 4, 13), "pro", True)
 
 
+def test_both_compilers_take_the_same_numbers(spark):
+    texts = ["inf", " -Infinity", "+INF", "infinite", "nan", "1e5", ".5", "12.", "12f", "1_000", "-inf ", "--inf", ""]
+    df = spark.createDataFrame([(x,) for x in texts], "n string")
+    plan = Plan([Step("n", "cast_numeric", {"integer": False}, 0)])
+    df.createOrReplaceTempView("raw_numbers")
+    _, create = compiler.to_sql(plan, df.columns, "raw_numbers", "clean_numbers")
+    got = [r["n"] for r in spark.sql(create.split(" AS ", 1)[1]).collect()]
+    assert got == [r["n"] for r in compiler.compiled(df, plan).collect()]
+    inf = float("inf")
+    assert got == [inf, -inf, inf, None, None, 1e5, 0.5, 12.0, None, None, -inf, None, None]
+
+
 def test_binding_fixes_what_depends_on_the_table(spark):
     df = spark.createDataFrame([("1.5", "3 Feb 2026"), ("2", "2026-01-01")], "n string, d string")
     plan = compiler.bind(df, Plan([Step("n", "cast_numeric", {"integer": True}), Step("d", "parse_dates")]))

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cleanloom.operators import actions, datagen, guard, issues, score, validate
+from cleanloom.operators import actions, datagen, guard, issues, programs, score, validate
 from cleanloom.operators.profile import profile
 from cleanloom.plans import compiler, engine, memory
 from cleanloom.plans.model import Plan, Settings, Step
@@ -175,6 +175,59 @@ def test_csv_is_read_as_text(spark, tmp_path):
         tables.load(spark, spec.Source("table", "no_such_table"))
 
 
+def test_files_are_split_unless_records_run_over_lines(spark, tmp_path):
+    plain, quoted = tmp_path / "plain.csv", tmp_path / "quoted.csv"
+    plain.write_text('id,note\n1,"a ""b"" c"\n2,d\n')
+    quoted.write_text('id,note\n1,"a\nb"\n')
+    assert [tables._runs_on(spark, str(p)) for p in (plain, quoted)] == [False, True]
+    assert [tuple(r) for r in tables.load(spark, spec.parse(str(plain))).collect()] == [("1", 'a "b" c'), ("2", "d")]
+
+
+def test_tables_behind_jdbc_are_read_in_parts(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(i, f"x{i}") for i in range(100)], "id int, note string")
+    df.write.format("jdbc").option("url", url).option("dbtable", "raw").save()
+    source = spec.parse(f"{url}::raw#id")
+    assert (source.name, source.split_by) == ("raw", "id")
+    got = tables.load(spark, source)
+    assert got.count() == 100 and got.select(F.spark_partition_id()).distinct().count() > 10
+    where = tables.write(got.limit(5), source, "clean_raw")
+    assert where.endswith("::clean_raw") and tables.load(spark, spec.parse(f"{url}::clean_raw")).count() == 5
+
+
+# -- programs -----------------------------------------------------------------------------------
+
+
+def program(body):
+    return "def transform(df):\n" + "".join(f"    {line}\n" for line in body.split("\n")) + "    return df\n"
+
+
+def test_programs_run_over_batches(spark):
+    df = spark.createDataFrame([(" a ", 1), ("b", 2), (None, 3)], "s string, n int")
+    out = programs.transformed(df, program("df['s'] = df['s'].str.strip()\ndf['n'] = df['n'] * 2"))
+    assert sorted(out.collect(), key=lambda r: r["n"]) == [("a", 2), ("b", 4), (None, 6)]
+
+
+@pytest.mark.parametrize(
+    ("body", "said"),
+    [("for i in range(10 ** 12):\n    x = i", "seconds"), ("x = ['a' * 10 ** 9 for i in range(9)]", "Memory"), ("df = df.head(0)", "rows"), ("x = df['none']", "KeyError"), ("x = 1 / 0", "ZeroDivision")],
+)
+def test_programs_have_limits(spark, body, said):
+    df = spark.createDataFrame([("a",)], "s string")
+    with pytest.raises(Exception, match=said):
+        programs.transformed(df, program(body), limits=programs.Limits(2.0, 1 << 28)).collect()
+
+
+def test_programs_reach_neither_files_nor_network(tmp_path):
+    import pandas as pd
+
+    for code, said in ((f"def transform(df):\n    df.to_csv('{tmp_path}/x')\n    return df", "OSError|File too large"), ("def transform(df):\n    pd.read_csv('http://127.0.0.1:9/x')\n    return df", "network|URLError")):
+        one = programs.Confined(code, programs.Limits(10.0))  # as if the guard had let it pass
+        with pytest.raises(programs.ProgramError, match=said):
+            one(pd.DataFrame({"a": [1]}))
+        one.close()
+
+
 # -- whole runs ---------------------------------------------------------------------------------
 
 
