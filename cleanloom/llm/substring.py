@@ -14,8 +14,9 @@ only the documents which can match them, and each shard meets those in one task:
    automaton over them counts the occurrences of all their subsequences; each region is streamed
    through it, and the windows that end in a state with two occurrences or more are repeated.
 4. An anchor with more than HOT occurrences (a very common passage) would make one shard too large.
-   Its windows are counted one by one, as keys with partial sums before the shuffle.  A second Bloom
-   filter names these anchors; one that it names wrongly is counted by windows too, which gives the same.
+   Its equal regions are summed before the shuffle, and the windows of its different regions are
+   counted as keys of their own, with partial sums.  A second Bloom filter names these anchors; one that it
+   names wrongly is counted by windows too, which gives the same.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from cleanloom.llm.common import aside, cut, map_batches
 WINDOW = 35
 GRAM = 16
 #: Regions of an anchor that one task takes, and bits of a filter.
-HOT = 4000
+HOT = 20_000
 FILTER_BITS = 1 << 27
 #: Words that are worked on at once.
 BLOCK = 1 << 20
@@ -260,31 +261,13 @@ def spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             id1, id2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             for found, row, base in blocks(b, window, gram):
                 at = np.flatnonzero(_passes(bloom, found.anchor) & (_passes(hot, found.anchor) == single))
-                if single:
-                    yield alone(found, at, id1, id2, row, base)
-                    continue
                 segment = found.segment[at]
                 offset = found.start[at] - found.origin[segment] + base[segment]
                 columns = [pa.array(found.anchor[at]), pa.array(found.same(at)), pa.array(id1[row[segment]]), pa.array(id2[row[segment]]), pa.array(offset, pa.int64()), pa.array(found.symbols(at), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "same", "id1", "id2", "start", "symbols"])
 
-    def alone(found: Regions, at: np.ndarray, id1: np.ndarray, id2: np.ndarray, row: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
-        """A row for each different window of a text, with all its places there."""
-        n = found.count[at]
-        at = np.repeat(at, n)
-        begin = found.start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        same, segment = mixed(found.rolled(begin, begin + window)).view(np.int64), found.segment[at]
-        order = np.lexsort((begin, same, found.anchor[at], segment))
-        at, begin, same, segment = at[order], begin[order], same[order], segment[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (same[1:] != same[:-1]) | (segment[1:] != segment[:-1]) | (found.anchor[at[1:]] != found.anchor[at[:-1]])
-        first = np.flatnonzero(new)
-        places = pa.ListArray.from_arrays(np.append(first, len(at)).astype(np.int32), pa.array(begin - found.origin[segment] + base[segment], pa.int64()))
-        of = row[segment[first]]
-        return pa.RecordBatch.from_arrays([pa.array(found.anchor[at[first]]), pa.array(same[first]), pa.array(id1[of]), pa.array(id2[of]), places], names=["anchor", "same", "id1", "id2", "starts"])
-
-    fields = "anchor long, same long, id1 long, id2 long"
-    candidates = map_batches(source, lambda it: regions(it, False), f"{fields}, start long, symbols binary")
+    fields = "anchor long, same long, id1 long, id2 long, start long, symbols binary"
+    candidates = map_batches(source, lambda it: regions(it, False), fields)
     shards = candidates.repartition("anchor").sortWithinPartitions("anchor", "same")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,14 +294,32 @@ def spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
     found = map_batches(shards, shard, "id1 long, id2 long, start long, mask long")
     if some_hot:
-        single = map_batches(source, lambda it: regions(it, True), f"{fields}, starts array<long>")
-        # kept, so that both sides of the join are shuffled for it and a very common window can be split
-        twice = cut(single.groupBy("anchor", "same").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").drop("n"))
-        again_at = single.join(twice, ["anchor", "same"]).select("id1", "id2", F.explode("starts").alias("start"), F.lit(1).cast("long").alias("mask"))
-        found = found.unionByName(again_at)
+        common = cut(map_batches(source, lambda it: regions(it, True), fields))
+        # kept, so that both sides of the join are shuffled for it and a very common region can be split
+        masks_ = cut(common_masks(common, window))
+        found = found.unionByName(common.select("anchor", "same", "id1", "id2", "start").join(masks_, ["anchor", "same"]).select("id1", "id2", "start", "mask"))
     return found
 
 
+def common_masks(regions: DataFrame, window: int) -> DataFrame:
+    """(anchor, same, mask) of the regions that have repeated windows, by counting windows over all regions."""
+    different = regions.groupBy("anchor", "same").agg(F.count("*").alias("n"), F.max("symbols").alias("symbols"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, size = xxhash.xxh3_64_intdigest, window * SYMBOL
+        for b in batches:
+            symbols = b.column(3).to_pylist()
+            counts = np.array([(len(x) - size) // SYMBOL + 1 for x in symbols], np.int64)
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            hashes = np.array([digest(x[i : i + size]) for x, n in zip(symbols, counts.tolist(), strict=True) for i in range(0, n * SYMBOL, SYMBOL)], np.uint64)
+            of = pa.array(np.repeat(np.arange(len(symbols)), counts))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(of) for k in range(3)), pa.array(at), pa.array(hashes.view(np.int64))], names=["anchor", "same", "n", "at", "window"])
+
+    each = map_batches(different, windows, "anchor long, same long, n long, at long, window long")
+    twice = cut(each.groupBy("anchor", "window").agg(F.sum("n").alias("total")).where("total > 1").drop("total"))
+    return each.join(twice, ["anchor", "window"]).groupBy("anchor", "same").agg(F.bit_or(F.expr("shiftleft(1L, cast(at as int))")).alias("mask"))
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """ID1 and ID2 name a row by its key and text, so a repeated key is no trouble."""
     return df.withColumn(ID1, F.xxhash64(F.lit(1), key, text)).withColumn(ID2, F.xxhash64(F.lit(2), text, key))
