@@ -1,4 +1,4 @@
-"""python -m cleanloom run SOURCE | profile SOURCE | resume RUN ACTION | memory | guard FILE"""
+"""python -m cleanloom run SOURCE | profile SOURCE | resume RUN ACTION | memory | guard FILE | trial"""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import argparse
 import json
 import sys
 
-from cleanloom.operators import guard, issues
+from cleanloom.operators import datagen, guard, issues
 from cleanloom.operators.profile import compact, profile
+from cleanloom.plans import trial
 from cleanloom.plans.engine import Engine, Result
 from cleanloom.plans.memory import Memory
 from cleanloom.plans.model import Settings
@@ -42,6 +43,9 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("action", choices=("approve", "reject", "edit"))
     c.add_argument("--plan", help="a JSON file with the edited plan")
     commands.add_parser("memory")
+    c = commands.add_parser("trial", help="clean generated messy tables of all domains and report")
+    c.add_argument("--rows", type=int, default=2000)
+    c.add_argument("--domain", action="append", choices=tuple(datagen.DOMAINS))
     commands.add_parser("guard").add_argument("file")
     a = parser.parse_args(args)
     read = lambda path: json.load(open(path)) if path else None  # noqa: E731, SIM115
@@ -59,6 +63,12 @@ def main(args: list[str] | None = None) -> int:
         p = profile(tables.ingest(spark, spec.parse(a.source)).sample)
         print(json.dumps({"columns": compact(p), "issues": issues.detect(p, read(a.target))}, indent=2, default=str))
         return 0
+    if a.command == "trial":
+        records, cells = trial.trial(spark, tables.scratch(spark, "trial"), a.rows, domains=tuple(a.domain or datagen.DOMAINS))
+        print(trial.rendered(trial.summary(records, cells)))
+        for r in [*trial.by_kind(cells).orderBy("kind", "pass").collect(), *trial.reasons(records).collect()]:
+            print(" ".join(map(str, r)))
+        return 0
     engine = Engine(spark, Settings(folder=a.folder))
     return told(engine.run(a.source, read(a.target)) if a.command == "run" else engine.resume(a.run_id, {"action": a.action, "plan": read(a.plan)}))
 

@@ -20,6 +20,8 @@ LAST = "Abel Brandt Costa Diaz Engel Fischer Garcia Haas Ito Jensen Khan Lopez M
 TOKENS = ("N/A", "null", "-", "unknown", "", "NaN", "missing")
 TRUTH = (("yes", "no"), ("Y", "N"), ("TRUE", "False"), ("1", "0"))
 EPOCH = "2020-01-01"
+#: Units that some raw files use instead: ending of the column's name: (unit, how many of it are one of the column's).
+UNITS = {"_kg": ("lb", 2.20462), "_cm": ("in", 0.393701)}
 
 #: domain: column: (kind, argument, may be null, name at the source)
 DOMAINS: dict[str, dict[str, tuple]] = {
@@ -142,8 +144,11 @@ def _choose(options: list[Column], n: Column) -> Column:
     return out
 
 
-def corrupt(clean: DataFrame, domain: str, seed: int, dates: str = "mixed_us", tokens: float = 0.06, padded: float = 0.05, garbage: float = 0.004, rename: bool = True) -> Messy:
-    """The clean rows as a raw table of text; the rates are of cells."""
+def corrupt(clean: DataFrame, domain: str, seed: int, dates: str = "mixed_us", tokens: float = 0.06, padded: float = 0.05, garbage: float = 0.004, rename: bool = True, units: float = 0.0) -> Messy:
+    """The clean rows as a raw table of text; the rates are of cells.
+
+    units is the share of weights and lengths that are in another unit, which no rule of the planner turns back.
+    """
     spec = DOMAINS[domain]
     dirty, marks, injected = [], [], set()
     renames = {c: s for c, (*_, s) in spec.items() if s and rename}
@@ -151,6 +156,9 @@ def corrupt(clean: DataFrame, domain: str, seed: int, dates: str = "mixed_us", t
     for c, (kind, *_) in spec.items():
         v = F.col(c)
         styled = _styled(c, kind, v, seed, dates)
+        other = next((u for ending, u in UNITS.items() if c.endswith(ending)), None)
+        if other and units:
+            styled = F.when(_share(seed, c + "unit") < units, F.concat((v * other[1]).cast("decimal(18,2)").cast("string"), F.lit(f" {other[0]}"))).otherwise(styled)
         junk = (_share(seed, c + "junk") < garbage) if kind in ("int", "float", "money", "date", "datetime") else F.lit(False)
         token = (_share(seed, c + "token") < tokens) if kind not in ("id", "name") else F.lit(False)
         pad = (_share(seed, c + "pad") < padded) if kind != "id" else F.lit(False)
@@ -171,5 +179,12 @@ def corrupt(clean: DataFrame, domain: str, seed: int, dates: str = "mixed_us", t
     return Messy(domain, clean, clean.select("_rid", *dirty), clean.select("_rid", *marks), renames, injected)
 
 
+def shaped(df: DataFrame, column: str, seed: int, rate: float = 0.1) -> DataFrame:
+    """df as JSON documents, column doc, in which a share of the column's values stand inside an object."""
+    fields = [t.column(c) for c in df.columns if c not in ("_rid", column)]
+    inside, plain = F.struct(t.column(column).alias("value")).alias(column), t.column(column)
+    return df.select(F.when(_share(seed, column + "shape") < rate, F.to_json(F.struct(*fields, inside))).otherwise(F.to_json(F.struct(*fields, plain))).alias("doc"))
+
+
 def target_schema(domain: str) -> dict[str, dict]:
     return {c: {"type": TYPES[kind]} for c, (kind, *_) in DOMAINS[domain].items()}

@@ -72,4 +72,5 @@ class Settings:
     null_jump: float = 0.20
     similar: float = 0.6
     prefix: str = "clean_"
+    pushdown: bool = True
     folder: str = "runs"

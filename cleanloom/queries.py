@@ -7,6 +7,7 @@ categories in three spellings.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ from cleanloom.functions import text as t
 from cleanloom.operators import actions, datagen, docschema, drift, issues, matching, score, validate
 from cleanloom.operators import profile as prof
 from cleanloom.plans import compiler
-from cleanloom.plans.model import Plan, Step
+from cleanloom.plans.engine import Engine
+from cleanloom.plans.model import Plan, Settings, Step
 from cleanloom.plans.planner import RulePlanner
+from cleanloom.sources import tables
+from cleanloom.sources.spec import Source, parse
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEXT = ["price", "ordered", "priority", "urgent", "custKey"]
@@ -364,6 +368,81 @@ def repair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def dates_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times with an offset become UTC without one."""
+    raw = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:15:00', CASE o_orderkey % 3 WHEN 0 THEN '+02:00' WHEN 1 THEN 'Z' ELSE '-05:30' END) AS placed")
+    return compiler.compiled(raw, Plan([Step("placed", "parse_dates", {}, 1)]))
+
+
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw table stored as delimited text and read again: all text, white space kept."""
+    source = Source("csv", "orders", f"{tables.scratch(spark, 'csv')}/orders.csv")
+    tables.store(dirty(spark, sf_dir), source)
+    return tables.load(spark, source)
+
+
+def source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat columns nested for a document store and flattened when read."""
+    source = Source("json", "orders", f"{tables.scratch(spark, 'json')}/orders.json")
+    tables.store(flatten_documents(spark, sf_dir), source)
+    return tables.load(spark, source)
+
+
+def source_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ingesting a table comes to: rows, rows of the sample, those of them that are the table's, distinct ones."""
+    got = tables.ingest(spark, parse(f"{sf_dir}/orders.parquet"), 1000)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    own = got.sample.join(orders, "o_orderkey", "left").agg(F.count("*").alias("sampled"), F.count_if(F.col("price") == F.col("o_totalprice")).alias("own"), F.count_distinct("o_orderkey").alias("distinct"))
+    return own.withColumn("row_count", F.lit(got.row_count).cast("long")).withColumn("columns", F.lit(len(got.declared)).cast("long"))
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw table that the engine cleans by itself."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id",
+        """CASE o_orderkey % 10 WHEN 0 THEN concat('$', format_number(o_totalprice, 2)) WHEN 1 THEN concat(' ', cast(o_totalprice AS decimal(15, 2)), ' USD') WHEN 2 THEN 'N/A'
+           ELSE cast(cast(o_totalprice AS decimal(15, 2)) AS string) END AS price""",
+        "CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'd MMM yyyy') ELSE date_format(o_orderdate, 'MMM d, yyyy') END AS ordered",
+        "CASE o_orderkey % 10 WHEN 0 THEN upper(o_orderpriority) WHEN 1 THEN lower(o_orderpriority) ELSE concat(initcap(o_orderpriority), '\\t') END AS priority",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN ' TRUE' WHEN 3 THEN 'f' ELSE 'n/a' END AS urgent",
+        "cast(o_custkey AS string) AS custKey",
+        "o_orderstatus AS status",
+    )
+
+
+ENGINE = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 2 THEN o_totalprice::DECIMAL(15, 2)::DOUBLE END AS price, o_orderdate::DATE::TIMESTAMP AS ordered,
+  array_to_string(list_transform(string_split(lower(o_orderpriority), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS priority,
+  CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS urgent, o_custkey::BIGINT AS cust_key, o_orderstatus AS status FROM orders"""
+
+
+def engine_run(times: int) -> Query:
+    """A whole run over a raw table, from ingest to the table it writes; with more than one the last uses the stored plan."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = tables.scratch(spark, "engine")
+        source = Source("parquet", "raw_orders", f"{folder}/raw_orders.parquet")
+        tables.store(raw_orders(spark, sf_dir), source)
+        engine = Engine(spark, Settings(folder=f"{folder.removeprefix('file:')}/runs"))
+        for nth in range(times):
+            done = engine.run(source)
+            if done.status != "succeeded" or (done.state["memory"] == "exact") != (nth > 0):
+                raise RuntimeError(f"run {nth}: {done.status}, {done.state['memory']}, {done.state['errors']}")
+        return spark.read.parquet(done.state["output"])
+
+    return run
+
+
+def sql_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan over a catalog table, applied as the SQL that it compiles to, by the engine's own last step."""
+    source = Source("table", f"cleanloom_raw_{uuid.uuid4().hex}")
+    tables.store(dirty(spark, sf_dir), source)
+    df = tables.load(spark, source)
+    where, by = Engine(spark).written(df, compiler.bind(df, ORDERS), source, tables.output_name(source))
+    if by != "sql":
+        raise RuntimeError(f"written by {by}")
+    return spark.table(where)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "clean_orders": (clean_orders, f"WITH {DIRTY} {CLEAN}"),
     "clean_orders_sql": (clean_orders_sql, f"WITH {DIRTY} {CLEAN}"),
@@ -425,6 +504,16 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         SELECT name, round(0.7 * len(list_intersect(a, b)) / len(list_distinct(a || b)) + 0.3 * len(list_intersect(an, bn)) / len(list_distinct(an || bn)), 4) AS similarity FROM x""",
     ),
     "flatten_documents": (flatten_documents, 'SELECT o_orderkey AS id, o_orderstatus AS "o.status", o_totalprice AS "o.price.total" FROM orders'),
+    "act_date_offsets": (
+        dates_with_offsets,
+        "SELECT o_orderkey AS id, o_orderdate::DATE::TIMESTAMP + INTERVAL '10 hours 15 minutes' + CASE o_orderkey % 3 WHEN 0 THEN INTERVAL '-2 hours' WHEN 1 THEN INTERVAL '0 hours' ELSE INTERVAL '5 hours 30 minutes' END AS placed FROM orders",
+    ),
+    "source_csv": (source_csv, f"WITH {DIRTY} SELECT id::VARCHAR AS id, price, ordered, priority, urgent, custKey, status FROM dirty"),
+    "source_json": (source_json, 'SELECT o_orderkey AS id, o_orderstatus AS "o.status", o_totalprice AS "o.price.total" FROM orders'),
+    "source_sample": (source_sample, "SELECT least(count(*), 1000) AS sampled, least(count(*), 1000) AS own, least(count(*), 1000) AS \"distinct\", count(*) AS row_count, (SELECT count(*) FROM (DESCRIBE orders)) AS \"columns\" FROM orders"),
+    "engine_run": (engine_run(1), ENGINE),
+    "engine_replay": (engine_run(2), ENGINE),
+    "sql_applied": (sql_applied, f"WITH {DIRTY} {CLEAN}"),
     "repair_scores": (repair_scores, None),
     "score_repair": (
         score_repair,

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+import tempfile
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,26 +111,40 @@ def output_name(source: Source, prefix: str = "clean_") -> str:
     return f"{prefix}{source.name}"
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the folder that driver and executors share; a local session that names none gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="cleanloom-")
+    return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, source: Source) -> None:
+    """Writes df as the whole of a source, so that `load` gives its rows: text keeps its white space."""
+    if source.kind == "table":
+        df.write.mode("overwrite").saveAsTable(source.name)
+    elif source.kind == "sql":
+        df.write.format("jdbc").mode("overwrite").option("url", source.uri).option("dbtable", source.name).save()
+    elif source.kind == "mongo":
+        docschema.nested(df).write.format("mongodb").mode("overwrite").option("connection.uri", source.uri).option("database", source.database).option("collection", source.name).save()
+    elif source.kind == "csv":
+        as_is = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.write.mode("overwrite").options(**as_is).csv(source.uri)
+    else:
+        (docschema.nested(df) if source.kind == "json" else df).write.mode("overwrite").format(source.kind).save(source.uri)
+
+
 def write(df: DataFrame, source: Source, target: str, prefix: str = "clean_") -> str:
     """Writes a new table beside the source, never in place; gives where it is, without passwords."""
     if not target.startswith(prefix):
         raise PermissionError(f"outputs start with {prefix!r}, {target!r} does not")
-    if source.kind in ("table",):
-        df.write.mode("overwrite").saveAsTable(target)
-        return target
-    if source.kind == "sql":
-        uri = source.staging_uri or source.uri
-        df.write.format("jdbc").mode("overwrite").option("url", uri).option("dbtable", target).save()
-        return f"{redacted(uri)}::{target}"
-    if source.kind == "mongo":
-        uri = source.staging_uri or source.uri
-        docschema.nested(df).write.format("mongodb").mode("overwrite").option("connection.uri", uri).option("database", source.database).option("collection", target).save()
-        return f"{source.database}.{target}"
-    path = os.path.join(os.path.dirname(source.uri.rstrip("/")), f"{target}.{source.kind}")
-    out = docschema.nested(df) if source.kind == "json" else df
-    writer = out.write.mode("overwrite")
-    (writer.option("header", True).option("escape", '"') if source.kind == "csv" else writer).format(source.kind).save(path)
-    return path
+    uri = source.staging_uri or source.uri
+    if source.kind not in ("table", "sql", "mongo"):
+        uri = os.path.join(os.path.dirname(source.uri.rstrip("/")), f"{target}.{source.kind}")
+    store(df, replace(source, name=target, uri=uri))
+    return {"table": target, "sql": f"{redacted(uri)}::{target}", "mongo": f"{source.database}.{target}"}.get(source.kind, uri)
 
 
 def run_sql(spark: SparkSession, statements: list[str]) -> None:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from cleanloom.operators import actions, datagen, guard, issues, programs, score, validate
 from cleanloom.operators.profile import profile
-from cleanloom.plans import compiler, engine, memory
+from cleanloom.plans import compiler, engine, memory, trial
 from cleanloom.plans.model import Plan, Settings, Step
-from cleanloom.plans.planner import Planned, RulePlanner
+from cleanloom.plans.planner import Planned, RulePlanner, make_planner
 from cleanloom.sources import spec, tables
 from cleanloom.streaming import apply as streaming
 
@@ -384,3 +384,78 @@ def test_the_command_line(spark, tmp_path, capsys):
     bad = tmp_path / "bad.py"
     bad.write_text("import os")
     assert main(["guard", str(bad)]) == 1
+
+
+# -- stores, SQL that is applied, planners that ask a model, whole trials ---------------------------
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "parquet", "orc"])
+def test_stores_keep_texts_as_they_are(spark, tmp_path, kind):
+    df = spark.createDataFrame([(" a\t", 'x "y", z'), (None, "two\nlines"), ("ü", None)], "p string, q string")
+    source = spec.Source(kind, "raw", str(tmp_path / f"raw.{kind}"))
+    tables.store(df, source)
+    assert sorted(tables.load(spark, source).select("p", "q").collect(), key=str) == sorted(df.collect(), key=str)
+
+
+@pytest.mark.parametrize("pushdown", [True, False])
+def test_a_catalog_table_is_cleaned_by_sql(spark, settings, pushdown):
+    name = f"raw_prices_{int(pushdown)}"
+    tables.store(spark.createDataFrame([(i, f"${i}.50") for i in range(50)], "id int, price string"), spec.Source("table", name))
+    done = engine.Engine(spark, dataclasses.replace(settings, pushdown=pushdown)).run(f"table:{name}")
+    assert (done.status, done.state["written_by"]) == ("succeeded", "sql" if pushdown else "frames")
+    assert spark.table(done.state["output"]).agg(F.sum("price")).first()[0] == sum(range(50)) + 25.0
+
+
+def asked(*answers):
+    left, prompts = list(answers), []
+
+    def ask(text):
+        prompts.append(json.loads(text))
+        return left.pop(0), {"prompt_tokens": len(text) // 4, "completion_tokens": 5}
+
+    return ask, prompts
+
+
+def test_a_model_plans_and_repairs(spark, tmp_path, settings):
+    spark.createDataFrame([(f"${i}.50",) for i in range(50)], "price string").write.parquet(str(tmp_path / "p.parquet"))
+    step = {"column": "price", "action": "cast_numeric"}
+    bad = [{"column": "nope", "action": "strip"}, {"column": "price", "action": "erase"}, {"column": "price", "action": "custom", "params": {"expression": "1"}}, {"column": "price", "action": "strip", "strategy": 2}, "x"]
+    ask, prompts = asked(json.dumps({"steps": [step | {"strategy": 0}, *bad]}), json.dumps({"steps": [step | {"strategy": 1}]}))
+    done = engine.Engine(spark, settings, make_planner("model", ask)).run(str(tmp_path / "p.parquet"))
+    assert (done.status, done.state["planned"], done.state["usage"]["calls"], done.state["usage"]["completion_tokens"]) == ("succeeded", 2, 2, 10)
+    assert [p["task"] for p in prompts] == ["plan", "repair"] and prompts[1]["found"][0]["check"] == "new_nulls"
+    assert [(s["column"], s["action"]) for s in done.state["plan"]["steps"]] == [("price", "cast_numeric")]
+
+
+def test_rules_stand_in_for_a_model_without_an_answer(spark, tmp_path, settings):
+    spark.createDataFrame([(f"${i}.50",) for i in range(50)], "price string").write.parquet(str(tmp_path / "p.parquet"))
+    ask, _ = asked("I would rather not")
+    done = engine.Engine(spark, settings, make_planner("model", ask)).run(str(tmp_path / "p.parquet"))
+    assert done.status == "succeeded" and done.state["plan"]["steps"][0]["action"] == "cast_numeric"
+    with pytest.raises(ValueError):
+        make_planner("model")
+
+
+def test_units_and_shapes_that_are_mixed(spark):
+    clean = datagen.generate(spark, "patients", 400, 3)
+    messy = datagen.corrupt(clean, "patients", 3, units=0.2)
+    raw = messy.dirty.select(F.col("weight_kg"), F.col(messy.renames["height_cm"]).alias("height")).collect()
+    for column, unit in (("weight_kg", " lb"), ("height", " in")):
+        assert 40 < sum(unit in (r[column] or "") for r in raw) < 120
+    docs = [json.loads(r.doc) for r in datagen.shaped(clean, "department", 3, 0.25).collect()]
+    inside = [d["department"] for d in docs if isinstance(d.get("department"), dict)]
+    assert len(docs) == 400 and 60 < len(inside) < 140 and set(inside[0]) == {"value"}
+
+
+def test_a_trial_of_all_passes(spark, tmp_path):
+    records, cells = trial.trial(spark, str(tmp_path / "trial"), 400, domains=("sensors", "products"), sample=400)
+    found = {r["pass"]: r for r in trial.summary(records, cells).collect()}
+    assert set(found) == set(trial.PASSES)
+    first, repeat, drift_ = (found[p] for p in trial.PASSES)
+    assert (first.runs, first.rows, first.final_success, first.planner_calls > 0) == (2, 800, 1.0, True)
+    assert repeat.exact_memory > 0 and repeat.planner_calls < first.planner_calls and drift_.exact_memory == 0
+    assert all(r.repaired > 0.95 and r.damaged < 0.001 and r.garbage_nulled == 1.0 and r.precision > 0.9 and r.recall > 0.9 for r in found.values())
+    text = trial.rendered(trial.summary(records, cells))
+    assert text.splitlines()[0] == "| figure | first | repeat | drift |" and "| repaired |" in text
+    asked_ = spark.createDataFrame([("first", "confidence 0.55 is under 0.6"), ("first", "confidence 0.50 is under 0.6"), ("drift", "price: lost"), ("drift", None)], "pass string, reason string")
+    assert {tuple(r) for r in trial.reasons(asked_).collect()} == {("confidence", 2), ("price", 1)}
