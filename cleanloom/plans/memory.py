@@ -36,7 +36,7 @@ def similarity(a: list[str], b: list[str]) -> float:
 
 
 def slim(profile: dict[str, dict]) -> dict[str, dict]:
-    return {c: {k: p.get(k) for k in ("dominant_family", "null_ratio", "distinct", "top_values", "families")} for c, p in profile.items()}
+    return {c: {k: p.get(k) for k in ("dominant_family", "null_ratio", "distinct", "top_values", "categories", "families")} for c, p in profile.items()}
 
 
 class Memory:

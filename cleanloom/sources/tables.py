@@ -87,13 +87,15 @@ def transport(df: DataFrame) -> DataFrame:
 def sample(df: DataFrame, n: int, rows: int, seed: int = SEED) -> DataFrame:
     """n of df's rows at random, all of them if there are no more.
 
-    Rows pass a coin that lets twice n through, in percent to two digits, before the first n are taken:
-    no sort, and no more than 2n rows move.
+    Rows pass a coin that lets twice n through, in percent to two digits, and n of those are taken in a random
+    order.  Both go by a row's part and place, so a table that is read again in the same parts gives the same
+    rows, from all parts, whichever task ends first.
     """
     if rows <= n:
         return df
     percent = min(100.0, -(-n * 200 * 100 // rows) / 100)
-    return df.sample(fraction=percent / 100, seed=seed).limit(n)
+    # the coin draws from the streams of seed + part, so the order takes others
+    return exact_sample(df.sample(fraction=percent / 100, seed=seed), n, ~seed)
 
 
 def exact_sample(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:

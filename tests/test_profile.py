@@ -89,6 +89,17 @@ def test_drift(spark):
     assert kinds == [("new", "new_column"), ("gone", "dropped_column"), ("a", "type_change"), ("a", "null_jump"), ("s", "new_categories")]
 
 
+def test_categories_that_were_less_frequent_are_not_new(spark):
+    def shown(most, more=()):
+        return prof.profile(spark.createDataFrame([(f"kind {c}",) for c in "abcdefghijkl"] + [(f"kind {c}",) for c in most] * 3 + [(x,) for x in more], "s string"))
+
+    base = shown("abcdefgh")
+    assert len(base["s"]["top_values"]) == 8 and len(base["s"]["categories"]) == 12
+    assert drift.detect(base, shown("efghijkl")) == []
+    found = drift.detect(base, shown("efghijkl", ["fresh"] * 9))
+    assert [(d["kind"], d["detail"]) for d in found] == [("new_categories", {"values": ["fresh"]})]
+
+
 DOCS = [{"_id": 1, "price": 2.5, "address": {"city": "x", "geo": {"lat": 1}}}, {"_id": 2, "price": "2.5", "address": "x"}, {"_id": 3, "tags": [{"n": 1}, {"n": None}, 5, {"n": "late"}], "ok": True}]
 
 
@@ -120,3 +131,12 @@ def test_samples(spark, n):
     assert tables.sample(df, n, 1000).count() <= n
     assert tables.exact_sample(df, n).count() == n
     assert tables.sample(df, 1000, 1000).count() == 1000
+
+
+def test_samples_are_of_all_parts_and_come_again(spark):
+    from cleanloom.sources import tables
+
+    df = spark.range(0, 100_000, 1, 10)
+    first, again = ([r["id"] for r in tables.sample(df, 1000, 100_000).collect()] for _ in range(2))
+    assert len(set(first)) == 1000 and sorted(first) == sorted(again)
+    assert {i // 10_000 for i in first} == set(range(10))
